@@ -126,7 +126,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             yield record(doc_id=b.column("doc_id").slice(lo, hi - lo), own=node.view(np.int64), items=items)
 
     made = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", at.alias("h")).where("doc_id IS NOT NULL"), run, "doc_id long, own long, items array<long>")
-    return made.join(wanted, (made.doc_id == wanted.doc_id) & (made.own == wanted.node)).select("node", "items").dropDuplicates(["node"])
+    return made.join(wanted.select("node"), made.own == F.col("node")).select("node", "items").dropDuplicates(["node"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -143,17 +143,35 @@ def components(edges: DataFrame) -> DataFrame:
             return lab
 
 
-def confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int, share: int) -> DataFrame:
+class Sets:
+    """The full sets of nodes, made when a candidate pair first needs them."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, n: int):
+        self.docs, self.nodes, self.n, self.have = docs, nodes, n, None
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if self.have is not None:
+            need = need.join(self.have.select("node"), "node", "left_anti")
+        need = saved(self.nodes.join(need, "node", "left_semi").select("doc_id", "node"))
+        if not need.isEmpty():
+            new = saved(full_sets(self.docs, need, self.n))
+            self.have = new if self.have is None else self.have.unionByName(new)
+        return self.have if self.have is not None else saved(full_sets(self.docs, need, self.n))
+
+
+def confirmed(pairs: DataFrame, sigs: DataFrame, sets: Sets, matches: int, share: int) -> DataFrame:
     """The (a, b) pairs that agree in enough coordinates and then in the full sets."""
     sa, sb = (sigs.select(F.col("node").alias(k), F.col("sig").alias(f"s{k}")) for k in "ab")
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     close = saved(pairs.join(sa, "a").join(sb, "b").where(agree >= matches).select("a", "b"))
-    ta, tb = (sets.select(F.col("node").alias(k), F.col("items").alias(f"t{k}")) for k in "ab")
+    items = sets.of(close)
+    ta, tb = (items.select(F.col("node").alias(k), F.col("items").alias(f"t{k}")) for k in "ab")
     both = F.size(F.array_intersect("ta", "tb"))
     return close.join(ta, "a").join(tb, "b").where(100 * both >= share * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
 
-def link(posts: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int, share: int) -> DataFrame:
+def link(posts: DataFrame, sigs: DataFrame, sets: Sets, matches: int, share: int) -> DataFrame:
     """``node, c`` for the nodes in postings that have a link; c is the component."""
     posts = saved(posts)
     n = posts.count()
@@ -215,8 +233,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, share: int = 80, coordinates: i
     posts = saved(postings(nodes.select("node", "sig"), matches))
     busy = posts.select("node").distinct()
     sigs = nodes.join(busy, "node", "left_semi")
-    sets = saved(full_sets(docs, sigs.select("doc_id", "node"), n))
-    lab = link(posts, sigs.select("node", "sig"), sets, matches, share)
+    lab = link(posts, sigs.select("node", "sig"), Sets(docs, nodes.select("node", "doc_id"), n), matches, share)
     lab = nodes.select("node", "doc_id").join(lab, "node", "left").select("node", "doc_id", F.coalesce("c", "node").alias("c"))
     least = lab.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     lab = lab.join(least, "c").select("node", "component_id")
