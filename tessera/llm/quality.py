@@ -144,6 +144,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
 
 
+def keep(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose text scores ``least`` or more."""
+    w, bias = model
+
+    def run(b: pa.RecordBatch):
+        for lo, hi, t in pieces(b):
+            yield b.slice(lo, hi - lo).filter(pa.array(scores(t, w, bias) >= least))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels, crc_mod("doc_id", 3) != 1)

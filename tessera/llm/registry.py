@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, license_scan, minhash, mixing, quality, rules, topk, toxicity, url_filter
+from tessera.llm import bpe, license_scan, lm, minhash, mixing, quality, rules, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
     "op2_license_scan": license_scan.op2_license_scan,
     "op3_quality_rules": rules.op3_quality_rules,
+    "op4_lm_scoring": lm.op4_lm_scoring,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_exact_topk": topk.op6_exact_topk,
     "op7_bpe": bpe.op7_bpe,

@@ -271,16 +271,32 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic",
     return train([(np.frombuffer(got[k].x, np.uint16).reshape(-1, INPUTS), got[k].label) for k in order])
 
 
+def scores(t: Texts, net: Net) -> tuple[np.ndarray, np.ndarray]:
+    """Score and number of windows of each text."""
+    x, offs = inputs(t)
+    first, woffs = windows(offs)
+    z = net.logits(net.project(x), first, np.repeat(offs[1:], np.diff(woffs)))
+    top = np.maximum.reduceat(z, woffs[:-1]).astype(np.float64)
+    return 1 / (1 + np.exp(-np.clip(top, -30, 30))), np.diff(woffs)
+
+
+def keep(docs: DataFrame, net: Net, below: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose text scores less than ``below``."""
+
+    def run(b: pa.RecordBatch):
+        for lo, hi, t in pieces(b):
+            yield b.slice(lo, hi - lo).filter(pa.array(scores(t, net)[0] < below))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def score(docs: DataFrame, net: Net) -> DataFrame:
     """``doc_id, score, n_windows`` of every row, over all overlapping windows."""
 
     def run(b: pa.RecordBatch):
         for lo, hi, t in pieces(b):
-            x, offs = inputs(t)
-            first, woffs = windows(offs)
-            z = net.logits(net.project(x), first, np.repeat(offs[1:], np.diff(woffs)))
-            top = np.maximum.reduceat(z, woffs[:-1]).astype(np.float64)
-            yield record(doc_id=b.column("doc_id").slice(lo, hi - lo), score=1 / (1 + np.exp(-np.clip(top, -30, 30))), n_windows=np.diff(woffs))
+            s, n = scores(t, net)
+            yield record(doc_id=b.column("doc_id").slice(lo, hi - lo), score=s, n_windows=n)
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double, n_windows long")
 
