@@ -28,7 +28,7 @@ BITS, DIM, HIDDEN = 16, 12, 8
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7), (4,)
 INPUTS = 1 + len(PREFIXES) + len(SUFFIXES)
 #: Bounds on the sample that is fitted on: texts of each class, and windows of each.
-SAMPLE_PER_CLASS, SAMPLE_WINDOWS = 1200, 40
+SAMPLE_PER_CLASS, SAMPLE_WINDOWS = 1200, 24
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -179,14 +179,29 @@ class Net:
         return grad
 
 
-def odds(x: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
+def odds(texts: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Log-odds of each hashed input between texts of the classes, rare ones shrunk to 0."""
-    seen = np.unique((doc[:, None].astype(np.int64) << BITS) | x.astype(np.int64))
-    d, f = seen >> BITS, seen & ((1 << BITS) - 1)
-    p = np.bincount(f[y[d] == 1], minlength=1 << BITS)
-    n = np.bincount(f[y[d] == 0], minlength=1 << BITS)
+    seen = np.zeros((2, 1 << BITS), np.int64)
+    for x, label in zip(texts, y, strict=True):
+        seen[label, np.unique(x)] += 1
     a, b, k = y.sum(), (y == 0).sum(), 6.0
-    return np.log((p + k * a / (a + b)) / a) - np.log((n + k * b / (a + b)) / b)
+    return np.log((seen[1] + k * a / (a + b)) / a) - np.log((seen[0] + k * b / (a + b)) / b)
+
+
+def _logits(net: Net, texts: list[np.ndarray], words: int = 1 << 16) -> list[np.ndarray]:
+    """Logits of every window of each text, some texts at a time."""
+    out, k = [], 0
+    while k < len(texts):
+        z, n = k, 0
+        while z < len(texts) and (n == 0 or n + len(texts[z]) <= words):
+            n += len(texts[z])
+            z += 1
+        offs = np.concatenate([[0], np.cumsum([len(t) for t in texts[k:z]])])
+        first, woffs = windows(offs)
+        logit = net.logits(net.project(np.concatenate(texts[k:z])), first, np.repeat(offs[1:], np.diff(woffs)))
+        out += np.split(logit, woffs[1:-1])
+        k = z
+    return out
 
 
 def train(texts: list[tuple[np.ndarray, int]], epochs: int = 9, batch: int = 128, rate: float = 0.01, seed: int = 3) -> Net:
@@ -199,14 +214,14 @@ def train(texts: list[tuple[np.ndarray, int]], epochs: int = 9, batch: int = 128
         return net
     x = np.concatenate([t[0] for t in texts])
     offs = np.concatenate([[0], np.cumsum([len(t[0]) for t in texts])])
-    doc = np.repeat(np.arange(len(texts)), np.diff(offs))
+    own = [t[0] for t in texts]
     # what the labelled texts say of an input is where its embedding starts
-    lo = odds(x, doc, y)
+    lo = odds(own, y)
     net.p["emb"][:, 0] += np.clip(lo, -1.5, 4).astype(np.float32) * 0.25
     first, woffs = windows(offs)
     stop = np.repeat(offs[1:], np.diff(woffs))
-    hint = np.where(lo > 1.5, lo, 0)[x].sum(1) if len(x) else np.zeros(0)
-    c = np.concatenate([[0], np.cumsum(hint)])
+    strong = np.where(lo > 1.5, lo, 0)
+    c = np.concatenate([[0.0], np.cumsum(sum(strong[x[:, k]] for k in range(x.shape[1])))])
     logit = c[np.minimum(first + LENGTH, stop)] - c[first]
     rng = np.random.default_rng(seed)
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (y == 0).sum()))
@@ -215,7 +230,7 @@ def train(texts: list[tuple[np.ndarray, int]], epochs: int = 9, batch: int = 128
     k = 0
     for epoch in range(epochs):
         if epoch >= 2:
-            logit = net.logits(net.project(x), first, stop)
+            logit = np.concatenate(_logits(net, own))
         best = np.array([a + int(np.argmax(logit[a:b])) for a, b in zip(woffs[:-1], woffs[1:], strict=True)])
         some = woffs[:-1] + (rng.random(len(y)) * np.diff(woffs)).astype(int)
         clean = np.flatnonzero(y == 0)
@@ -237,8 +252,7 @@ def train(texts: list[tuple[np.ndarray, int]], epochs: int = 9, batch: int = 128
                 v += 0.01 * (g * g - v)
                 net.p[name] -= (rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)).astype(np.float32)
     # the cut between the classes of whole texts
-    logit = net.logits(net.project(x), first, stop)
-    top = np.array([logit[a:b].max() for a, b in zip(woffs[:-1], woffs[1:], strict=True)])
+    top = np.array([z.max() for z in _logits(net, own)])
     o = np.argsort(top)
     right = np.cumsum((y[o] == 0) * weight[o]) + np.cumsum((((y[o] == 1) * weight[o])[::-1]))[::-1] - (y[o] == 1) * weight[o]
     cuts = np.flatnonzero(right >= right.max() - 1e-9)
