@@ -16,7 +16,15 @@ from pyspark.sql import functions as F
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: The most rows in an Arrow batch: texts can be long, and a batch is held by the JVM and by Python.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input; from now on the session sends smaller batches to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, None) or 10_000) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

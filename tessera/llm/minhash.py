@@ -185,7 +185,7 @@ def link(posts: DataFrame, sigs: DataFrame, sets: Sets, matches: int, share: int
         across = per.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()[0] or 0
         if not across:
             break
-        last = across <= n or (before is not None and across > 0.8 * before)
+        last = across <= 4 * n or (before is not None and across > 0.8 * before)
         before = across
         if last:
             # the largest component of a list needs no pairs inside: the others meet all
@@ -232,8 +232,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, share: int = 80, coordinates: i
     nodes = saved(all_.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")))
     posts = saved(postings(nodes.select("node", "sig"), matches))
     busy = posts.select("node").distinct()
-    sigs = nodes.join(busy, "node", "left_semi")
-    lab = link(posts, sigs.select("node", "sig"), Sets(docs, nodes.select("node", "doc_id"), n), matches, share)
+    sigs = saved(nodes.join(busy, "node", "left_semi").select("node", "sig"))
+    lab = link(posts, sigs, Sets(docs, nodes.select("node", "doc_id"), n), matches, share)
     lab = nodes.select("node", "doc_id").join(lab, "node", "left").select("node", "doc_id", F.coalesce("c", "node").alias("c"))
     least = lab.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     lab = lab.join(least, "c").select("node", "component_id")
