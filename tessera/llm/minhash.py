@@ -10,7 +10,9 @@ that agree often enough are confirmed on the full sets.
 
 Large groups aren't expanded into all pairs: in each round a posting list is tested
 against two of its members; what is linked shares a component, and pairs inside a
-component need no test.  Once few pairs across components are left, all are tested.
+component need no test.  What is left across components is tested in full: a text
+against a component of some size meets the members in blocks of ``BLOCK``, compared as
+matrices, and at most one link a (text, block) comes out.
 
 The chance that a pair of similarity 0.8 agrees in fewer than 35 of 64 coordinates
 is about 1e-6.
@@ -35,6 +37,8 @@ COORDINATES, MATCHES = 64, 35
 _rng = np.random.default_rng(97)
 _MUL = _rng.integers(1, 2**31, 512, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 2**32, 512, dtype=np.uint32)
+#: Members of a component in one block; components of up to FEW members are tested pair by pair.
+BLOCK, FEW = 256, 4
 #: Bits of the fixed-size filter of candidate ids.
 FILTER_BITS = 1 << 24
 
@@ -150,7 +154,7 @@ class Sets:
         self.docs, self.nodes, self.n, self.have = docs, nodes, n, None
 
     def of(self, pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        need = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
         if self.have is not None:
             need = need.join(self.have.select("node"), "node", "left_anti")
         need = saved(self.nodes.join(need, "node", "left_semi").select("doc_id", "node"))
@@ -171,6 +175,61 @@ def confirmed(pairs: DataFrame, sigs: DataFrame, sets: Sets, matches: int, share
     return close.join(ta, "a").join(tb, "b").where(100 * both >= share * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
 
+def block_links(left, right, matches: int, share: int, one: bool) -> list[tuple[int, int]]:
+    """Links of left with right texts of other components, (node, c, sig, items) each; if ``one``, one a left text."""
+    ls, rs = (np.array([r["sig"] for r in side]) for side in (left, right))
+    close = np.zeros((len(left), len(right)), bool)
+    for lo in range(0, len(left), 64):
+        close[lo : lo + 64] = (ls[lo : lo + 64, None, :] == rs[None, :, :]).sum(2) >= matches
+    close &= np.array([r["c"] for r in left])[:, None] != np.array([r["c"] for r in right])[None, :]
+    if not close.any():
+        return []
+    li, ri = ([np.asarray(r["items"], np.int64) for r in side] for side in (left, right))
+    lsize, rsize = (np.array([len(x) for x in side]) for side in (li, ri))
+    common = np.intersect1d(np.concatenate(li), np.concatenate(ri))
+    both = np.zeros((len(left), len(right)), np.float32)
+    where = [[np.searchsorted(common, x[np.isin(x, common)]) for x in side] for side in (li, ri)]
+    for lo in range(0, len(common), 4096):
+        n = min(4096, len(common) - lo)
+        a, b = np.zeros((len(left), n), np.float32), np.zeros((len(right), n), np.float32)
+        for m, side in ((a, where[0]), (b, where[1])):
+            for k, at in enumerate(side):
+                m[k, at[(at >= lo) & (at < lo + n)] - lo] = 1
+        both += a @ b.T
+    ok = close & (100 * both >= share * (lsize[:, None] + rsize[None, :] - both))
+    at = [(k, int(ok[k].argmax())) for k in np.flatnonzero(ok.any(1)).tolist()] if one else np.argwhere(ok).tolist()
+    return [(left[i]["node"], right[j]["node"]) for i, j in at]
+
+
+def blocked(tests: DataFrame, members: DataFrame, sigs: DataFrame, sets: Sets, matches: int, share: int, one: bool) -> DataFrame:
+    """(a, b) links between ``tests`` and ``members``, both (node, c, g), of the same g."""
+    nodes = tests.select("node").unionByName(members.select("node")).distinct()
+    full = sets.of(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))).join(sigs, "node")
+    size = members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
+    packs = tests.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("np"))
+    text = F.struct("node", "c", "sig", "items")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    right = members.join(size, "g").join(full, "node").groupBy("g", part("nb").alias("k")).agg(F.collect_list(text).alias("r"))
+    left = tests.join(packs, "g").join(full, "node").groupBy("g", part("np").alias("p")).agg(F.collect_list(text).alias("l"))
+    left = left.join(size, "g").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+
+    def run(batches):
+        for b in batches:
+            for row in zip(b.column("l").to_pylist(), b.column("r").to_pylist(), strict=True):
+                found = block_links(*row, matches, share, one)
+                if found:
+                    yield record(a=[x for x, _ in found], b=[y for _, y in found])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = tests.sparkSession
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, 1)  # a row is a pair of blocks
+    try:
+        return saved(left.join(right, ["g", "k"]).select("l", "r").mapInArrow(run, "a long, b long"))
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def link(posts: DataFrame, sigs: DataFrame, sets: Sets, matches: int, share: int) -> DataFrame:
     """``node, c`` for the nodes in postings that have a link; c is the component."""
     posts = saved(posts)
@@ -185,15 +244,29 @@ def link(posts: DataFrame, sigs: DataFrame, sets: Sets, matches: int, share: int
         across = per.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()[0] or 0
         if not across:
             break
-        last = across <= 4 * n or (before is not None and across > 0.8 * before)
+        last = across <= n or (before is not None and across > 0.8 * before)
         before = across
         if last:
-            # the largest component of a list needs no pairs inside: the others meet all
-            big = cur.groupBy("tok", "c").count().groupBy("tok").agg(F.max_by("c", F.struct("count", "c")).alias("big"), F.count("*").alias("k")).where("k > 1")
-            mine = cur.join(big, "tok")
-            small = mine.where("c <> big").select("tok", F.col("node").alias("x"), F.col("c").alias("cx"))
-            other = mine.select("tok", F.col("node").alias("y"), F.col("c").alias("cy"), (F.col("c") == F.col("big")).alias("in_big"))
-            pairs = small.join(other, "tok").where("cx <> cy AND (in_big OR x < y)")
+            # the largest component of a list needs no tests inside: the others meet all
+            held = cur.groupBy("tok", "c").count()
+            big = held.groupBy("tok").agg(F.max_by("c", F.struct("count", "c")).alias("big"), F.count("*").alias("k")).where("k > 1")
+            small = cur.join(big, "tok").where("c <> big").select("tok", F.col("node").alias("x"), F.col("c").alias("cx"), "big")
+            wide = cur.select("node", "c").distinct().groupBy("c").count().where(F.col("count") > FEW).select("c")
+            # texts against large components
+            tests = small.join(held.select("tok", F.col("c").alias("g")), "tok").where("cx <> g AND (g = big OR cx < g)")
+            far = saved(tests.join(wide.select(F.col("c").alias("g")), "g", "left_semi").select(F.col("x").alias("node"), F.col("cx").alias("c"), "g").distinct())
+            linked = []
+            if not far.isEmpty():
+                of = cur.select("node", "c").distinct().join(far.select(F.col("g").alias("c")).distinct(), "c", "left_semi")
+                linked.append(blocked(far, saved(of.withColumn("g", F.col("c"))), sigs, sets, matches, share, True))
+            # texts of small components: in blocks where a list has many, else pair by pair
+            few = saved(cur.join(wide, "c", "left_anti"))
+            long_lists = few.groupBy("tok").count().where(F.col("count") > BLOCK // 4).select("tok")
+            many = saved(few.join(long_lists, "tok", "left_semi").select("node", "c", F.col("tok").alias("g")))
+            if not many.isEmpty():
+                linked.append(blocked(many, many, sigs, sets, matches, share, False))
+            rest = few.join(long_lists, "tok", "left_anti").select("tok", F.col("node").alias("y"), F.col("c").alias("cy"))
+            pairs = small.join(rest, "tok").where("cx <> cy AND (cy = big OR cx < cy)")
         else:
             order = F.struct(F.xxhash64("node", F.lit(step)).alias("o"), "node", "c")
             hubs = cur.groupBy("tok").agg(F.min(order).alias("p"), F.max(order).alias("q"))
@@ -204,6 +277,8 @@ def link(posts: DataFrame, sigs: DataFrame, sets: Sets, matches: int, share: int
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = saved(pairs)
         edges = saved(confirmed(pairs, sigs, sets, matches, share))
+        for more in linked if last else []:
+            edges = edges.unionByName(more)
         tested = pairs if tested is None else tested.unionByName(pairs)
         if lab is not None:
             e = edges.join(lab.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a", "left").join(lab.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b", "left")
