@@ -38,7 +38,7 @@ END = "</w>"
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACES}\p{{L}}\p{{N}}]+")
 #: The most distinct units that a worker remembers; beyond, it forgets the later half.
-REMEMBER = 600_000
+REMEMBER = 250_000
 
 # classes of bytes: 0 space, 1 letter, 2 digit, 3 other, 9 part of a word that is encoded as a whole
 _KIND = np.full(256, 3, np.uint8)
@@ -188,7 +188,7 @@ class Vocabulary:
         new = np.flatnonzero(ok < 0)
         if len(new):
             ok[new] = self._compatible(pairs[new] // self.n, pairs[new] % self.n)
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 200_000:
                 self.pairs.clear()
             self.pairs.update(zip(pairs[new].tolist(), ok[new].tolist(), strict=True))
         word = np.repeat(np.arange(len(out)), np.maximum(size - 1, 0))
