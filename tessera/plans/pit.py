@@ -31,9 +31,10 @@ def pit(s, d):
 
 
 def grid(s, d):
-    """Customers by month; the months are a calendar, some hundred rows however large the tables."""
-    months = table(s, d, "orders").select(F.date_trunc("month", "o_orderdate").cast("date").alias("date")).distinct()
-    return table(s, d, "customer").select(C("c_custkey").alias("symbol")).crossJoin(F.broadcast(months))
+    """Customers by month, from the first order's to the last's."""
+    lo, hi = table(s, d, "orders").agg(*[f("o_orderdate") for f in (F.min, F.max)]).first()
+    months = F.sequence(*[F.date_trunc("month", F.lit(x)).cast("date") for x in (lo, hi)], F.expr("INTERVAL 1 MONTH"))
+    return table(s, d, "customer").select(C("c_custkey").alias("symbol"), F.explode(months).alias("date"))
 
 
 add("pit_events", pit, f"WITH {PIT} SELECT symbol, ann_date, report_period, {r('value')} AS value, id, report_seq FROM pit")
