@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
@@ -38,6 +40,11 @@ def rolling_predict(df: DataFrame, features: list[str], label: str, folds: list[
     out = None
     for f in folds:
         t = within(full, f.train).where(F.col(label).isNotNull())
+        if kind == "mlp":
+            out_ = _mlp_fold(t, within(full, f.test), features, label, **kw)
+            p = out_.withColumns({"train_start": F.lit(f.train[0]), "train_end": F.lit(f.train[-1])})
+            out = p if out is None else out.unionByName(p)
+            continue
         if kind == "ridge":
             model = LinearRegression(labelCol=label, regParam=alpha / max(t.count(), 1), elasticNetParam=0.0, standardization=False, **kw).fit(t)
         else:
@@ -51,3 +58,99 @@ def ic_weights(summary: DataFrame) -> DataFrame:
     """Weights by mean rank IC that sum to 1 in absolute value: (factor, weight)."""
     total = F.sum(F.abs("mean")).over(Window.partitionBy())
     return summary.select("factor", (F.col("mean") / total).alias("weight"))
+
+
+#: The most rows that the network is fitted on, the lowest by a hash of the key.
+MLP_ROWS = 200_000
+
+
+def fit_mlp(x: np.ndarray, y: np.ndarray, hidden=(64, 32), delta: float = 0.05, epochs: int = 12, batch: int = 512, rate: float = 1e-3, decay: float = 1e-4, patience: int = 4, seed: int = 7):
+    """A rectified network with Huber loss and decoupled weight decay; the last tenth of rows stops it early."""
+    rng = np.random.default_rng(seed)
+    mean, sd = x.mean(0), x.std(0) + 1e-9
+    x = np.clip((x - mean) / sd, -5, 5)
+    sizes = [x.shape[1], *hidden, 1]
+    ws = [[rng.standard_normal((a, b)) * (2 / a) ** 0.5, np.zeros(b)] for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
+    mom = [[[np.zeros_like(p), np.zeros_like(p)] for p in w] for w in ws]
+    cut = max(1, len(x) * 9 // 10)
+    best, kept, bad, k = np.inf, ws, 0, 0
+
+    def forward(z, layers):
+        acts = [z]
+        for i, (w, b) in enumerate(layers):
+            z = z @ w + b
+            z = np.maximum(z, 0) if i < len(layers) - 1 else z
+            acts.append(z)
+        return acts
+
+    for _ in range(epochs):
+        order = rng.permutation(cut)
+        for lo in range(0, cut, batch):
+            o = order[lo : lo + batch]
+            acts = forward(x[o], ws)
+            g = np.clip(acts[-1][:, 0] - y[o], -delta, delta)[:, None] / len(o)
+            k += 1
+            for i in range(len(ws) - 1, -1, -1):
+                grads = acts[i].T @ g, g.sum(0)
+                g = (g @ ws[i][0].T) * (acts[i] > 0)
+                for j, d in enumerate(grads):
+                    m, v = mom[i][j]
+                    m += 0.1 * (d - m)
+                    v += 0.001 * (d * d - v)
+                    ws[i][j] = ws[i][j] * (1 - rate * decay) - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        e = np.abs(forward(x[cut:], ws)[-1][:, 0] - y[cut:])
+        loss = float(np.where(e < delta, e * e / 2, delta * (e - delta / 2)).mean()) if len(e) else 0.0
+        if loss < best - 1e-9:
+            best, kept, bad = loss, [list(w) for w in ws], 0
+        else:
+            bad += 1
+            if bad >= patience:
+                break
+    return lambda z: forward(np.clip((z - mean) / sd, -5, 5), kept)[-1][:, 0]
+
+
+def _mlp_fold(train: DataFrame, test: DataFrame, features: list[str], label: str, **kw) -> DataFrame:
+    rows = train.select("symbol", "date", *features, label).orderBy(F.xxhash64("symbol", "date"), "symbol", "date").limit(MLP_ROWS).toPandas()
+    model = fit_mlp(rows[features].to_numpy(float), rows[label].to_numpy(float), **kw)
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[["symbol", "date"]].assign(pred=model(pdf[features].to_numpy(float)))
+
+    kinds = dict(test.dtypes)
+    return test.select("symbol", "date", *features).mapInPandas(run, f"symbol {kinds['symbol']}, date {kinds['date']}, pred double")
+
+
+def shrunk_covariance(df: DataFrame, name: str, time: str, value: str, periods: float = 252.0, least: int = 40) -> DataFrame:
+    """Ledoit-Wolf covariance towards a scaled identity, annualised, with long-only minimum-variance weights.
+
+    A universe of some hundred names is one matrix, so one task holds it; rows missing a
+    name take its median.  Under ``least`` rows the matrix is diagonal.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.pivot(index=time, columns=name, values=value).sort_index()
+        x = x.fillna(x.median())
+        names, a = list(x.columns), x.to_numpy(float)
+        a = a - a.mean(0)
+        n, k = a.shape
+        s = a.T @ a / max(n, 1)
+        if n < least:
+            c = np.diag(np.diag(s))
+        else:
+            mu = np.trace(s) / k
+            d2 = ((s - mu * np.eye(k)) ** 2).sum() / k
+            b2 = min(d2, (((a**2).T @ (a**2)) / n - s**2).sum() / (n * k))
+            share = b2 / d2 if d2 > 0 else 1.0
+            c = share * mu * np.eye(k) + (1 - share) * s
+        c = c * periods
+        w = np.full(k, 1 / k)
+        step = 1 / (np.linalg.eigvalsh(c).max() + 1e-12)
+        for _ in range(500):
+            v = np.sort(w - step * (c @ w))[::-1]
+            at = np.arange(1, k + 1)
+            theta = ((np.cumsum(v) - 1) / at)[np.flatnonzero(v - (np.cumsum(v) - 1) / at > 0)[-1]]
+            w = np.maximum(w - step * (c @ w) - theta, 0)
+        return pd.DataFrame([(str(p), str(q), c[i, j], w[i]) for i, p in enumerate(names) for j, q in enumerate(names)], columns=["name", "other", "covariance", "weight"])
+
+    return df.select(name, time, value, F.lit("all").alias("_g")).groupBy("_g").applyInPandas(run, "name string, other string, covariance double, weight double")

@@ -191,3 +191,16 @@ def test_stream_dedup(spark, tmp_path):
     q = ev.dedup(src, "id", "ts", "1 day").writeStream.format("memory").queryName("dedup_test").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("dedup_test").count() == 3
+
+
+def test_network_and_covariance(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 3))
+    y = 0.3 * x[:, 0] - 0.2 * np.maximum(x[:, 1], 0)
+    model = models.fit_mlp(x, y, epochs=30, rate=3e-3)
+    assert np.corrcoef(model(x), y)[0, 1] > 0.97
+    rows = [(f"n{k}", day(t), float(v)) for t in range(80) for k, v in enumerate(rng.normal(size=3) * [1.0, 0.1, 3.0])]
+    got = models.shrunk_covariance(spark.createDataFrame(rows, "name string, date date, v double"), "name", "date", "v").toPandas()
+    c = got.pivot(index="name", columns="other", values="covariance").to_numpy()
+    w = got.groupby("name").weight.first().to_numpy()
+    assert np.allclose(c, c.T) and np.linalg.eigvalsh(c).min() > 0 and w.sum() == pytest.approx(1) and (w >= 0).all() and w[1] > 0.9
