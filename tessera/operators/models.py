@@ -144,7 +144,8 @@ def shrunk_covariance(df: DataFrame, name: str, time: str, value: str, periods:
             share = b2 / d2 if d2 > 0 else 1.0
             c = share * mu * np.eye(k) + (1 - share) * s
         c = c * periods
-        w = np.full(k, 1 / k)
+        w = 1 / np.maximum(np.diag(c), 1e-12)
+        w /= w.sum()
         step = 1 / (np.linalg.eigvalsh(c).max() + 1e-12)
         for _ in range(500):
             v = np.sort(w - step * (c @ w))[::-1]

@@ -203,4 +203,6 @@ def test_network_and_covariance(spark):
     got = models.shrunk_covariance(spark.createDataFrame(rows, "name string, date date, v double"), "name", "date", "v").toPandas()
     c = got.pivot(index="name", columns="other", values="covariance").to_numpy()
     w = got.groupby("name").weight.first().to_numpy()
-    assert np.allclose(c, c.T) and np.linalg.eigvalsh(c).min() > 0 and w.sum() == pytest.approx(1) and (w >= 0).all() and w[1] > 0.9
+    assert np.allclose(c, c.T) and np.linalg.eigvalsh(c).min() > 0
+    free = np.linalg.solve(c, np.ones(3))
+    assert (free > 0).all() and np.allclose(w, free / free.sum(), atol=2e-3)
