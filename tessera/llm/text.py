@@ -102,7 +102,7 @@ def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs
 
 
-def pieces(batch: pa.RecordBatch, name: str = "text", target: int = 1 << 20) -> Iterator[tuple[int, int, Texts]]:
+def pieces(batch: pa.RecordBatch, name: str = "text", target: int = 1 << 19) -> Iterator[tuple[int, int, Texts]]:
     """Rows [lo, hi) of a batch with about ``target`` bytes of whole texts."""
     buf, offs = column(batch, name)
     lo, n = 0, len(offs) - 1
