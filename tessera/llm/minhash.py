@@ -138,12 +138,14 @@ def components(edges: DataFrame) -> DataFrame:
     both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     lab = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("c")))
     while True:
+        # the label's own label, then the least among neighbours
         up = lab.select(F.col("node").alias("c"), F.col("c").alias("cc"))
-        jumped = lab.join(up, "c").select("node", "cc")
-        near = both.join(jumped, both.b == jumped.node).groupBy("a").agg(F.min("cc").alias("m"))
-        lab = saved(jumped.join(near, jumped.node == near.a).select("node", F.least("cc", "m").alias("c")))
-        x, y = lab.select(F.col("node").alias("a"), F.col("c").alias("ca")), lab.select(F.col("node").alias("b"), F.col("c").alias("cb"))
-        if both.join(x, "a").join(y, "b").where("ca <> cb").isEmpty():
+        jumped = lab.join(up, "c").select("node", "c", "cc")
+        near = both.join(jumped.select(F.col("node").alias("b"), "cc"), "b").groupBy("a").agg(F.min("cc").alias("m"))
+        new = jumped.join(near, jumped.node == near.a).select("node", F.least("cc", "m").alias("n"), "c")
+        new = saved(new.select("node", F.col("n").alias("c"), (F.col("n") < F.col("c")).alias("moved")))
+        lab = new.select("node", "c")
+        if new.where("moved").isEmpty():
             return lab
 
 
@@ -261,7 +263,7 @@ def link(posts: DataFrame, sigs: DataFrame, sets: Sets, matches: int, share: int
                 linked.append(blocked(far, saved(of.withColumn("g", F.col("c"))), sigs, sets, matches, share, True))
             # texts of small components: in blocks where a list has many, else pair by pair
             few = saved(cur.join(wide, "c", "left_anti"))
-            long_lists = few.groupBy("tok").count().where(F.col("count") > BLOCK // 4).select("tok")
+            long_lists = few.groupBy("tok").count().where(F.col("count") > BLOCK // 8).select("tok")
             many = saved(few.join(long_lists, "tok", "left_semi").select("node", "c", F.col("tok").alias("g")))
             if not many.isEmpty():
                 linked.append(blocked(many, many, sigs, sets, matches, share, False))
