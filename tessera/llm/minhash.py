@@ -254,16 +254,18 @@ def link(posts: DataFrame, sigs: DataFrame, sets: Sets, matches: int, share: int
             big = held.groupBy("tok").agg(F.max_by("c", F.struct("count", "c")).alias("big"), F.count("*").alias("k")).where("k > 1")
             small = cur.join(big, "tok").where("c <> big").select("tok", F.col("node").alias("x"), F.col("c").alias("cx"), "big")
             wide = cur.select("node", "c").distinct().groupBy("c").count().where(F.col("count") > FEW).select("c")
-            # texts against large components
-            tests = small.join(held.select("tok", F.col("c").alias("g")), "tok").where("cx <> g AND (g = big OR cx < g)")
+            few = saved(cur.join(wide, "c", "left_anti"))
+            long_lists = few.groupBy("tok").count().where(F.col("count") > BLOCK // 8).select("tok")
+            # texts against large components; small texts of a long list meet all of them, as no other test does
+            tests = small.join(held.select("tok", F.col("c").alias("g")), "tok").where("cx <> g AND (g = big OR cx < g)").select("x", "cx", "g")
+            crowd = few.join(long_lists, "tok", "left_semi").select("tok", F.col("node").alias("x"), F.col("c").alias("cx"))
+            tests = tests.unionByName(crowd.join(held.join(wide, "c", "left_semi").select("tok", F.col("c").alias("g")), "tok").select("x", "cx", "g"))
             far = saved(tests.join(wide.select(F.col("c").alias("g")), "g", "left_semi").select(F.col("x").alias("node"), F.col("cx").alias("c"), "g").distinct())
             linked = []
             if not far.isEmpty():
                 of = cur.select("node", "c").distinct().join(far.select(F.col("g").alias("c")).distinct(), "c", "left_semi")
                 linked.append(blocked(far, saved(of.withColumn("g", F.col("c"))), sigs, sets, matches, share, True))
             # texts of small components: in blocks where a list has many, else pair by pair
-            few = saved(cur.join(wide, "c", "left_anti"))
-            long_lists = few.groupBy("tok").count().where(F.col("count") > BLOCK // 8).select("tok")
             many = saved(few.join(long_lists, "tok", "left_semi").select("node", "c", F.col("tok").alias("g")))
             if not many.isEmpty():
                 linked.append(blocked(many, many, sigs, sets, matches, share, False))

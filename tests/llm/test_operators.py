@@ -92,6 +92,59 @@ def test_minhash_links_large_groups_in_blocks(spark, monkeypatch):
     assert got == {k: find(k) for k in range(60)}
 
 
+def test_minhash_small_texts_of_a_long_list_meet_every_large_component(spark):
+    """Two large components and over BLOCK // 8 small ones in one posting list, against all pairs of a list."""
+    rng = np.random.default_rng(8)
+    texts, lists = [], collections.defaultdict(list)
+
+    def edited(words, *at):
+        return [f"e{len(texts)}x{k}" if k in at else w for k, w in enumerate(words)]
+
+    def add(words, *toks):
+        for tok in toks:
+            lists[tok].append(len(texts))
+        texts.append(words)
+
+    for c in range(2):
+        base = [f"b{c}w{k}" for k in range(104)]
+        toks = [100 + 10 * c + k for k in range(6)]
+        add(base, *toks)
+        for k, tok in enumerate(toks):
+            member = edited(base, 10 + 12 * k, 16 + 12 * k)
+            add(member, tok, 1)
+            # near this member only: too far from the text in the middle and from the others
+            add(edited(member, 90, 96), 1)
+    for k in range(40):
+        add([f"s{k}w{rng.integers(1000)}" for _ in range(50)], 1)
+    sets = [frozenset(zip(*(w[k:] for k in range(5)))) for w in texts]
+    parent = list(range(len(texts)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for members in lists.values():
+        for a in members:
+            for b in members:
+                if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    parent[find(b)] = find(a)
+    groups = collections.defaultdict(set)
+    for k in range(len(texts)):
+        groups[find(k)].add(k)
+    assert sorted(map(len, groups.values()))[-3:] == [1, 13, 13]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    nodes = minhash.signatures(df, 5).cache()
+    node = {r.doc_id: r.node for r in nodes.select("doc_id", "node").collect()}
+    posts = spark.createDataFrame([(tok, node[k]) for tok, ks in lists.items() for k in ks], "tok long, node long")
+    sets_ = minhash.Sets(df, nodes.select("node", "doc_id"), 5)
+    got = {r.node: r.c for r in minhash.link(posts, nodes.select("node", "sig"), sets_, minhash.MATCHES, 80).collect()}
+    found = collections.defaultdict(set)
+    for k, x in node.items():
+        found[got.get(x, x)].add(k)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups.values()))
+
+
 def test_block_links_equals_brute_force():
     rng = np.random.default_rng(1)
     side = [{"node": k, "c": k % 7, "sig": list(rng.integers(0, 3, 64)), "items": sorted(set(rng.integers(0, 12, 10).tolist()))} for k in range(40)]
