@@ -244,6 +244,37 @@ def test_lm_is_a_distribution_and_windows_score_each_id_once():
     assert whole[1] < 0 and len(whole) == 3
 
 
+def test_lm_learns_from_all_texts(spark, monkeypatch):
+    """Ranks are those of the whole corpus; windows reach the ends of long texts and grow in number with the input."""
+    took = []
+    learn = lm.Model.learn
+    monkeypatch.setattr(lm.Model, "learn", lambda m, w, n: (took.append((m.rank, w, n)), learn(m, w, n, epochs=1)))
+    monkeypatch.setattr(lm, "LEAST_WINDOWS", 64)
+    monkeypatch.setattr(lm, "EVERY", 4)
+    # 600 texts of which some alone have a frequent word; long ones end in another
+    rows = [(k, "one two three four " * 20 + ("zebra " * 300 if k % 40 == 0 else "")) for k in range(600)]
+    rows += [(1000 + k, "one two " * 1500 + "apple " * 200) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    codec = bpe.codec(bpe.vocabulary_path())
+    for part in (df.where("doc_id < 300"), df):
+        lm.lm_scores(part, F.lit(False)).count()
+    texts = []
+    for _, t in rows:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        urow, _ = codec.rows(text.Texts(raw, np.array([0, len(raw)])))
+        texts.append(bpe.gather(codec.ids, codec.id_end, urow)[0].astype(np.int64))
+    counts = np.bincount(np.concatenate([*texts, np.full(len(texts), lm.EOS)]), minlength=lm.IDS)
+    rank, w, n = took[1]
+    assert (rank == np.minimum(lm.class_of(counts)[1], lm.TOP)).all()
+    total = sum(-(-(len(t) + 1) // lm.WIDTH) for t in texts)
+    assert abs(len(w) - (64 + total / 4)) < 0.2 * (64 + total / 4) and len(w) > 1.5 * len(took[0][1])
+    # the ends of long texts are drawn, and a text's end is only where it ends
+    assert (w[:, 0] == texts[-1][-1]).any()
+    ends = [(row[: k + 1] == lm.EOS).nonzero()[0] for row, k in zip(w, n)]
+    last = {t[-1] for t in texts}
+    assert all(len(at) == 0 or (len(at) == 1 and at[0] == k and row[k - 1] in last) for at, row, k in zip(ends, w, n) if k > 0)
+
+
 def test_lm_empty(empty):
     assert lm.lm_scores(empty, F.lit(False)).count() == 0
 
