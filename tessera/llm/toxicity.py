@@ -5,7 +5,8 @@ embeddings of the word itself and of character n-grams at its start and end.
 Windows of ``LENGTH`` words that overlap by half run through a forward and a
 backward gated recurrent unit; attention pools the states; a text's score is that
 of its most toxic window.  Training is numpy back-propagation through time on
-labelled texts, each represented by its window that scores highest at the time.
+labelled texts, each represented by that of all its windows that scores highest at
+the time; the cut between the classes is set on the maxima of whole texts, as scored.
 
 Defined cases: null and empty texts (and texts without letters) get the score of an
 empty window; no usable labels give 0.5 for all, labels of one class that class;
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod, in_hash_order, labelled, map_batches, record, table
+from tessera.llm.common import crc_mod, in_hash_order, labelled, map_batches, record, saved, table
 from tessera.llm.text import U64, Texts, mix, pieces
 
 LENGTH, STRIDE = 32, 16
@@ -27,8 +28,8 @@ BITS, DIM, HIDDEN = 16, 12, 8
 #: Character inputs: bytes from a word's start, and from its end.
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7), (4,)
 INPUTS = 1 + len(PREFIXES) + len(SUFFIXES)
-#: Bounds on the sample that is fitted on: texts of each class, and windows of each.
-SAMPLE_PER_CLASS, SAMPLE_WINDOWS = 1200, 24
+#: Bounds on the sample that is fitted on: whole texts of each class, and their words in all.
+SAMPLE_PER_CLASS, SAMPLE_WORDS = 1200, 1 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -205,7 +206,7 @@ def _logits(net: Net, texts: list[np.ndarray], words: int = 1 << 16) -> list[np.
 
 
 def train(texts: list[tuple[np.ndarray, int]], epochs: int = 9, batch: int = 128, rate: float = 0.01, seed: int = 3) -> Net:
-    """A net from (hashed inputs, label) of texts; hashed inputs are at most a few windows' words."""
+    """A net from (hashed inputs, label) of texts; hashed inputs are those of whole texts."""
     net = Net()
     y = np.array([t[1] for t in texts], int)
     if len(set(y.tolist())) < 2:
@@ -262,27 +263,30 @@ def train(texts: list[tuple[np.ndarray, int]], epochs: int = 9, batch: int = 128
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS, most: int = SAMPLE_WINDOWS) -> Net:
-    """Fitted on at most ``per_class`` labelled texts a class; of longer ones ``most`` windows' words."""
+def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS, words: int = SAMPLE_WORDS) -> Net:
+    """Fitted on at most ``per_class`` labelled texts a class, all of them whole; on fewer where these have over ``words`` words."""
 
     def run(b: pa.RecordBatch):
         for lo, hi, t in pieces(b):
             x, offs = inputs(t)
-            out = []
-            for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                # evenly spaced stretches of a long text
-                n = z - a
-                if n > most * LENGTH:
-                    at = np.linspace(0, n - LENGTH, most).astype(int)
-                    out.append(x[a + (at[:, None] + np.arange(LENGTH)).ravel()].tobytes())
-                else:
-                    out.append(x[a:z].tobytes())
             part = b.slice(lo, hi - lo)
-            yield record(doc_id=part.column("doc_id"), label=part.column("label"), x=pa.array(out, pa.binary()))
-
-    got = map_batches(labelled(docs, labels, label, keep, per_class).select("doc_id", "text", "label"), run, "doc_id long, label int, x binary").collect()
-    order = in_hash_order(np.array([r.doc_id for r in got], np.int64), 2) if got else []
-    return train([(np.frombuffer(got[k].x, np.uint16).reshape(-1, INPUTS), got[k].label) for k in order])
+            out = [x[a:z].tobytes() for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+            yield record(doc_id=part.column("doc_id"), label=part.column("label"), n=np.diff(offs).astype(np.int64), x=pa.array(out, pa.binary()))
+
+    made = labelled(docs, labels, label, keep, per_class).select("doc_id", "text", "label")
+    made = saved(map_batches(made, run, "doc_id long, label int, n long, x binary"))
+    sizes = made.select("doc_id", "label", "n").collect()
+    picked, total = [], {}
+    for k in in_hash_order(np.array([r.doc_id for r in sizes], np.int64), 2) if sizes else []:
+        r = sizes[k]
+        before = total.get(r.label, 0)
+        total[r.label] = before + r.n
+        if not before or total[r.label] <= words:
+            picked.append(r.doc_id)
+    if len(picked) < len(sizes):
+        made = made.where(F.col("doc_id").isin(picked))
+    got = {r.doc_id: (np.frombuffer(r.x, np.uint16).reshape(-1, INPUTS), r.label) for r in made.select("doc_id", "label", "x").collect()}
+    return train([got[k] for k in picked])
 
 
 def scores(t: Texts, net: Net) -> tuple[np.ndarray, np.ndarray]:

@@ -305,6 +305,31 @@ def test_toxicity_held_out(spark, docs, empty):
     assert toxicity.score(empty, net).count() == 0 and toxicity.keep(docs, net).columns == docs.columns
 
 
+def test_toxicity_learns_from_whole_long_texts(spark):
+    """A short passage anywhere in a long text, where 24 evenly spaced stretches of 32 words would miss it."""
+    rng = np.random.default_rng(6)
+    clean = [f"{a}{b}" for a in ("lo", "mi", "ra", "tu", "se") for b in ("ban", "dor", "fel", "gim", "hup", "kin", "lat", "mon", "pes", "rix")]
+    at = np.linspace(0, 1600 - 32, 24).astype(int)
+    rows, lab = [], []
+    for k in range(160):
+        w = list(rng.choice(clean, 1600))
+        if k % 4 == 0:
+            start = at[rng.integers(0, 23)] + 45
+            w[start : start + 10] = rng.choice(["vile", "nasty", "zorgish"], 10)
+        rows.append((k, " ".join(w)))
+        lab.append((k, int(k % 4 == 0)))
+    d, y = spark.createDataFrame(rows, "doc_id long, text string"), np.array([x[1] for x in lab])
+    net = toxicity.fit(d, spark.createDataFrame(lab, "doc_id long, toxic int"), F.col("doc_id") < 100)
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(d, net).collect()}
+    assert (np.array([got[k] for k in range(100, 160)]) == y[100:]).mean() > 0.95
+    # a bound on words takes fewer texts, and those whole
+    took, train = [], toxicity.train
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "train", lambda texts: took.extend(texts) or train(texts[:2], epochs=1))
+        toxicity.fit(d, spark.createDataFrame(lab, "doc_id long, toxic int"), F.col("doc_id") < 100, words=8000)
+    assert [len(x) for x, _ in took] == [1600] * 10 and sorted(label for _, label in took) == [0] * 5 + [1] * 5
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(0)
     net = toxicity.Net()
