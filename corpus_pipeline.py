@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep
 the columns of documents.  Models learn from the labels beside the input and score
-every text that the stage before kept.
+every text that the stage before kept.  Where a stage has to find rows again it numbers
+them itself, so null and repeated ids lose no row.
 """
 
 from __future__ import annotations
@@ -17,8 +18,13 @@ from tessera.llm.common import crc_mod, saved, table
 ORACLE_SQL = None
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+#: A stage's number of a row, and a hash of all its columns.
+ROW, HASH = "tessera_row", "tessera_hash"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ROW and HASH, written once so that numbers don't change."""
+    return saved(docs.withColumns({HASH: F.xxhash64(*docs.columns), ROW: F.monotonically_increasing_id()}))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,15 +40,25 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the smallest id; five words, 0.8 or more."""
-    found = minhash.near_duplicates(docs, n=5, share=80)
-    return _kept(docs, found.where("kept")).dropDuplicates(["doc_id"])
+    """One document of each group of near-duplicates stays: the smallest id; five words, 0.8 or more.
+
+    Rows without an id all stay, as in op1.  Of rows that share the smallest id of a group
+    one stays, that with the least hash of its columns; rows that share an id and are in
+    different groups are different documents and stay each.  Texts without words are in no
+    group: of those that share an id one stays.
+    """
+    rows = _numbered(docs)
+    found = saved(minhash.near_duplicates(rows, n=5, share=80, carry=(ROW, HASH)).where("kept").select("doc_id", "component", ROW, HASH))
+    one = found.where("doc_id IS NOT NULL").groupBy("component", "doc_id").agg(F.min(F.struct(HASH, ROW)).alias("r")).select(f"r.{ROW}")
+    stay = one.unionByName(found.where("doc_id IS NULL").select(ROW))
+    return rows.join(stay, ROW, "left_semi").select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it (0, 1 or 2)."""
-    mix = mixing.mix_sources(saved(mixing.sized(docs))).groupBy("doc_id").agg(F.max("times").alias("times")).where("times > 0")
-    return docs.join(mix, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
+    rows = _numbered(docs)
+    mix = mixing.mix_sources(saved(mixing.sized(rows, (ROW, HASH))), tie=HASH).select(ROW, "times").where("times > 0")
+    return rows.join(mix, ROW).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

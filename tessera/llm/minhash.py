@@ -81,8 +81,11 @@ def sketch(g: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return sig, node
 
 
-def signatures(docs: DataFrame, n: int, k: int = COORDINATES) -> DataFrame:
-    """``doc_id, n_shingles, node, sig`` of every row; node is the set's fingerprint, null for empty sets."""
+def signatures(docs: DataFrame, n: int, k: int = COORDINATES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_shingles, node, sig`` of every row; node is the set's fingerprint, null for empty sets.
+
+    ``carry`` are columns of type long that go along.
+    """
 
     def run(b: pa.RecordBatch):
         for lo, hi, t in pieces(b):
@@ -90,9 +93,11 @@ def signatures(docs: DataFrame, n: int, k: int = COORDINATES) -> DataFrame:
             sig, node = sketch(g, offs, k)
             size = np.diff(offs).astype(np.int64)
             values = pa.ListArray.from_arrays(pa.array(np.arange(t.n + 1, dtype=np.int32) * k), pa.array(sig.view(np.int32).ravel()))
-            yield record(doc_id=b.column("doc_id").slice(lo, hi - lo), n_shingles=size, node=pa.array(node.view(np.int64), mask=size == 0), sig=values)
+            more = {c: b.column(c).slice(lo, hi - lo) for c in carry}
+            yield record(doc_id=b.column("doc_id").slice(lo, hi - lo), n_shingles=size, node=pa.array(node.view(np.int64), mask=size == 0), sig=values, **more)
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, node long, sig array<int>")
+    schema = ", ".join(["doc_id long, n_shingles long, node long, sig array<int>", *(f"{c} long" for c in carry)])
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry), run, schema)
 
 
 def postings(nodes: DataFrame, matches: int) -> DataFrame:
@@ -301,12 +306,14 @@ def link(posts: DataFrame, sigs: DataFrame, sets: Sets, matches: int, share: int
     return lab if lab is not None else spark.createDataFrame([], "node long, c long")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, share: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, share: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
     Links need 100 x intersection >= ``share`` x union of the sets of ``n``-word shingles.
+    With ``carry`` these columns of docs (long) follow, and ``component``: unlike the
+    smallest id it differs between components where ids repeat; null for empty sets.
     """
-    all_ = saved(signatures(docs, n, coordinates))
+    all_ = saved(signatures(docs, n, coordinates, carry))
     # one row a set: the smallest id that has it
     nodes = saved(all_.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")))
     posts = saved(postings(nodes.select("node", "sig"), matches))
@@ -315,10 +322,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, share: int = 80, coordinates: i
     lab = link(posts, sigs, Sets(docs, nodes.select("node", "doc_id"), n), matches, share)
     lab = nodes.select("node", "doc_id").join(lab, "node", "left").select("node", "doc_id", F.coalesce("c", "node").alias("c"))
     least = lab.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    lab = lab.join(least, "c").select("node", "component_id")
-    out = all_.select("doc_id", "n_shingles", "node").join(lab, "node", "left")
+    lab = lab.join(least, "c").select("node", "component_id", F.col("c").alias("component"))
+    out = all_.select("doc_id", "n_shingles", "node", *carry).join(lab, "node", "left")
     comp = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+    more = [*carry, "component"] if carry else []
+    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"), *more)
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

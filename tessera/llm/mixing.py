@@ -51,25 +51,27 @@ def targets(sizes: list[int], weights: list[float], total: float = TOTAL, most:
     return out
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size, quality``; quality is 1/2 plus the share of letters among word bytes."""
+def sized(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, source, size, quality`` and the ``carry`` columns (long); quality is 1/2 plus the share of letters among word bytes."""
     def run(b: pa.RecordBatch):
         for lo, hi, t in pieces(b):
             n = np.diff(t.words()[2])
             letters, chars = per_doc(_LETTER[t.buf], t.offs), per_doc(~SPACE[t.buf], t.offs)
             part = b.slice(lo, hi - lo)
-            yield record(doc_id=part.column("doc_id"), source=part.column("source"), size=n.astype(np.int64), quality=0.5 + letters / np.maximum(chars, 1))
+            yield record(doc_id=part.column("doc_id"), source=part.column("source"), size=n.astype(np.int64), quality=0.5 + letters / np.maximum(chars, 1), **{c: part.column(c) for c in carry})
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"), run, "doc_id long, source string, size long, quality double")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", *carry), run, ", ".join(["doc_id long, source string, size long, quality double", *(f"{c} long" for c in carry)]))
 
 
-def mix_sources(rows: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = 11) -> DataFrame:
+def mix_sources(rows: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = 11, tie: str | None = None) -> DataFrame:
     """``rows`` (doc_id, source, size, quality) with ``source_size, target, taken, times``.
 
+    ``tie`` is a column (long) that stands for null ids and orders rows that are equal otherwise.
+
     The totals of each source (one small row a source) come to the driver.
     """
     spark = rows.sparkSession
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source")), 11)
+    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce("doc_id", tie) if tie else F.col("doc_id"), F.col("source")), 11)
     u = (bits.cast("double") + 0.5) / float(1 << 53)
     rows = rows.withColumn("key", -F.log(u) / F.col("quality"))
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
@@ -92,7 +94,7 @@ def mix_sources(rows: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: fl
         F.when(whole, 2).when(F.col("before") < F.col("r"), 1).otherwise(0).alias("state"),
     )
     rows = rows.join(state, rows.source.eqNullSafe(F.col("b_source")) & (rows.range == F.col("b_range"))).drop("b_source", "b_range")
-    w = Window.partitionBy("source", "range").orderBy("key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("source", "range").orderBy("key", "size", "doc_id", *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, 0)
     edge = rows.where("state = 1").withColumn("upto", F.col("before") + F.sum("size").over(w))
     # the document that crosses the budget stays if that comes nearer to it
     fits = (F.col("upto") <= F.col("rest")) | (F.col("upto") - F.col("rest") < F.col("rest") - (F.col("upto") - F.col("size")))
