@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str, bool]] = []
 
 
 #: The most rows in an Arrow batch: texts can be long, and a batch is held by the JVM and by Python.
@@ -30,39 +31,88 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set."""
+    """The folder that all executors share; one of our own only on a local master, where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, keep: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     Cuts lineage in a way that outlives any executor.  The tables go when the
-    session ends.
+    session ends; inside ``scratch`` they go with it unless ``keep``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_clean)
-    _written.append((spark, path))
+    _written.append((spark, path, keep))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch():
+    """Tables that ``saved`` writes inside go at the end, but for those with ``keep``."""
+    start = len(_written)
+    try:
+        yield
+    finally:
+        inside = _written[start:]
+        _written[start:] = [x for x in inside if x[2]]
+        for spark, path, keep in inside:
+            if not keep:
+                _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _clean() -> None:
-    for spark, path in _written:
+    for spark, path, _ in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the JVM may be gone; the folder's owner cleans up then
             return
 
 
+#: So many of the most frequent keys of a join are joined by broadcast, so no other has more than 1/HEAVY of the rows.
+HEAVY = 1024
+
+
+def frequent(rows: DataFrame, key: str, least: int = 32) -> list:
+    """The most frequent values of ``key`` with at least ``least`` rows, HEAVY at most."""
+    per = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    return [r[0] for r in per.where(F.col("_n") >= least).orderBy(F.desc("_n"), key).limit(HEAVY).collect()]
+
+
+def spread_join(rows: DataFrame, others: DataFrame, key: str, keys: list, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``others`` on ``key`` (inner, left or left_semi) without a task for all rows of a key.
+
+    ``keys`` are the frequent ones: their narrow rows of ``others``, a few a key, are broadcast.
+    Null keys meet nothing, and a left join keeps them where they are.
+    """
+    rest = rows.where(F.col(key).isNotNull())
+    if keys:
+        top = F.col(key).isin(keys)
+        hot = rows.where(top).join(F.broadcast(others.where(top)), key, how)
+        out = hot.unionByName(rest.where(~top).join(others.where(~top), key, how))
+    else:
+        out = rest.join(others, key, how)
+    if how == "left":
+        more = [F.lit(None).cast(f.dataType).alias(f.name) for f in others.schema if f.name != key]
+        out = out.unionByName(rows.where(F.col(key).isNull()).select("*", *more))
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,10 +17,13 @@ matrices, and at most one link a (text, block) comes out.
 The chance that a pair of similarity 0.8 agrees in fewer than 35 of 64 coordinates
 is about 1e-6.
 
+Joins on keys that may hold a third of all rows (component, coordinate value, set)
+broadcast the narrow other side of the most frequent keys and exchange the rest.
+
 Defined cases: null and empty texts have an empty set and are linked with nothing;
 a text with fewer words than a shingle has its whole sequence as one; repeated rows
-and equal sets are linked; null ids take no part as smallest ids; other columns are
-ignored.
+and equal sets are linked; rows with null ids link others but are never a smallest
+id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,16 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, record, saved, table
+from tessera.llm.common import HEAVY, frequent, map_batches, record, saved, scratch, spread_join, table
 from tessera.llm.text import U64, Texts, mix, ngrams, owners, pieces
 
 COORDINATES, MATCHES = 64, 35
 _rng = np.random.default_rng(97)
 _MUL = _rng.integers(1, 2**31, 512, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 2**32, 512, dtype=np.uint32)
-#: Members of a component in one block; components of up to FEW members are tested pair by pair.
+#: Members of a component in one block, and their shingles; components of up to FEW members are tested pair by pair.
 BLOCK, FEW = 256, 4
-#: Bits of the fixed-size filter of candidate ids.
+BLOCK_ITEMS = 1 << 19
+#: Bits of the fixed-size filter of candidate texts.
 FILTER_BITS = 1 << 24
 
 
@@ -82,9 +86,9 @@ def sketch(g: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
 
 
 def signatures(docs: DataFrame, n: int, k: int = COORDINATES, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, n_shingles, node, sig`` of every row; node is the set's fingerprint, null for empty sets.
+    """``doc_id, n_shingles, node, sig, text_key`` of every row; node is the set's fingerprint, null for empty sets.
 
-    ``carry`` are columns of type long that go along.
+    ``text_key`` is a hash of the text, ``carry`` are columns of type long that go along.
     """
 
     def run(b: pa.RecordBatch):
@@ -93,30 +97,31 @@ def signatures(docs: DataFrame, n: int, k: int = COORDINATES, carry: tuple[str,
             sig, node = sketch(g, offs, k)
             size = np.diff(offs).astype(np.int64)
             values = pa.ListArray.from_arrays(pa.array(np.arange(t.n + 1, dtype=np.int32) * k), pa.array(sig.view(np.int32).ravel()))
-            more = {c: b.column(c).slice(lo, hi - lo) for c in carry}
+            more = {c: b.column(c).slice(lo, hi - lo) for c in ("text_key", *carry)}
             yield record(doc_id=b.column("doc_id").slice(lo, hi - lo), n_shingles=size, node=pa.array(node.view(np.int64), mask=size == 0), sig=values, **more)
 
-    schema = ", ".join(["doc_id long, n_shingles long, node long, sig array<int>", *(f"{c} long" for c in carry)])
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry), run, schema)
+    schema = ", ".join(["doc_id long, n_shingles long, node long, sig array<int>, text_key long", *(f"{c} long" for c in carry)])
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"), *carry), run, schema)
 
 
 def postings(nodes: DataFrame, matches: int) -> DataFrame:
     """``tok, node``: each node under the rare (coordinate, value) pairs that it must share."""
     tok = nodes.select("node", F.posexplode("sig").alias("i", "v")).select("node", (F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(0xFFFFFFFF))).alias("tok"))
-    shared = tok.groupBy("tok").count().where("count > 1")
-    lists = tok.join(shared, "tok").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "tok"))).alias("t"))
+    shared = saved(tok.groupBy("tok").count().where("count > 1"))
+    most = [r.tok for r in shared.orderBy(F.desc("count"), "tok").limit(HEAVY).collect()]
+    lists = spread_join(tok, shared, "tok", most).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "tok"))).alias("t"))
     first = lists.where(F.size("t") >= matches).select("node", F.explode(F.slice("t", F.lit(1), F.size("t") - matches + 1)).alias("t"))
     first = saved(first.select("node", "t.tok"))
-    return first.join(first.groupBy("tok").count().where("count > 1").select("tok"), "tok")
+    return spread_join(first, first.groupBy("tok").count().where("count > 1").select("tok"), "tok", most, "left_semi")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """``node, items`` for the wanted (doc_id, node); only their texts are turned into sets.
+    """``node, items`` for the wanted (text_key, node); only their texts are turned into sets.
 
     A bitmap of a fixed size goes to the executors, so that other texts stay where they are.
     """
     spark = docs.sparkSession
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    at = F.pmod(F.col("text_key"), F.lit(FILTER_BITS))
     # the functions number values from 1
     bits = wanted.select((at + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m")).collect()
     table_ = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -132,21 +137,22 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             g, offs = shingles(t, n)
             node = sketch(g, offs, 0)[1]
             items = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(g.view(np.int64)))
-            yield record(doc_id=b.column("doc_id").slice(lo, hi - lo), own=node.view(np.int64), items=items)
+            yield record(own=node.view(np.int64), items=items)
 
-    made = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", at.alias("h")).where("doc_id IS NOT NULL"), run, "doc_id long, own long, items array<long>")
+    made = map_batches(docs.select("text", F.xxhash64("text").alias("text_key")).select("text", at.alias("h")), run, "own long, items array<long>")
     return made.join(wanted.select("node"), made.own == F.col("node")).select("node", "items").dropDuplicates(["node"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, c``: the smallest node reachable, for all nodes of (a, b) edges."""
     both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    hubs = frequent(both, "b")
     lab = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("c")))
     while True:
         # the label's own label, then the least among neighbours
         up = lab.select(F.col("node").alias("c"), F.col("c").alias("cc"))
-        jumped = lab.join(up, "c").select("node", "c", "cc")
-        near = both.join(jumped.select(F.col("node").alias("b"), "cc"), "b").groupBy("a").agg(F.min("cc").alias("m"))
+        jumped = saved(spread_join(lab, up, "c", frequent(lab, "c")).select("node", "c", "cc"))
+        near = spread_join(both, jumped.select(F.col("node").alias("b"), "cc"), "b", hubs).groupBy("a").agg(F.min("cc").alias("m"))
         new = jumped.join(near, jumped.node == near.a).select("node", F.least("cc", "m").alias("n"), "c")
         new = saved(new.select("node", F.col("n").alias("c"), (F.col("n") < F.col("c")).alias("moved")))
         lab = new.select("node", "c")
@@ -164,7 +170,7 @@ class Sets:
         need = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
         if self.have is not None:
             need = need.join(self.have.select("node"), "node", "left_anti")
-        need = saved(self.nodes.join(need, "node", "left_semi").select("doc_id", "node"))
+        need = saved(self.nodes.join(need, "node", "left_semi").select("text_key", "node"))
         if not need.isEmpty():
             new = saved(full_sets(self.docs, need, self.n))
             self.have = new if self.have is None else self.have.unionByName(new)
@@ -182,38 +188,62 @@ def confirmed(pairs: DataFrame, sigs: DataFrame, sets: Sets, matches: int, share
     return close.join(ta, "a").join(tb, "b").where(100 * both >= share * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
 
-def block_links(left, right, matches: int, share: int, one: bool) -> list[tuple[int, int]]:
-    """Links of left with right texts of other components, (node, c, sig, items) each; if ``one``, one a left text."""
-    ls, rs = (np.array([r["sig"] for r in side]) for side in (left, right))
-    close = np.zeros((len(left), len(right)), bool)
-    for lo in range(0, len(left), 64):
-        close[lo : lo + 64] = (ls[lo : lo + 64, None, :] == rs[None, :, :]).sum(2) >= matches
-    close &= np.array([r["c"] for r in left])[:, None] != np.array([r["c"] for r in right])[None, :]
+class Side:
+    """Texts of a block as arrays: ``node``, ``c``, ``sig`` (texts x coordinates), sorted ``items`` and their offsets."""
+
+    def __init__(self, node, c, sig, items, offs):
+        self.node, self.c, self.sig, self.items, self.offs = node, c, sig, items, offs
+        self.size = np.diff(offs)
+        self.own = np.repeat(np.arange(len(node)), self.size)
+
+    @staticmethod
+    def of(texts: pa.StructArray) -> Side:
+        """From structs (node, c, sig, items)."""
+        node, c, sig, items = (texts.field(k) for k in ("node", "c", "sig", "items"))
+        flat = lambda a: a.flatten().to_numpy(zero_copy_only=False)
+        offs = items.offsets.to_numpy().astype(np.int64)
+        return Side(node.to_numpy(zero_copy_only=False), c.to_numpy(zero_copy_only=False), flat(sig).reshape(len(node), -1), flat(items), offs - offs[0])
+
+
+def block_links(left: Side, right: Side, matches: int, share: int, one: bool) -> list[tuple[int, int]]:
+    """Links of left with right texts of other components; if ``one``, one a left text."""
+    n, m = len(left.node), len(right.node)
+    close = np.zeros((n, m), bool)
+    for lo in range(0, n, 64):
+        close[lo : lo + 64] = (left.sig[lo : lo + 64, None, :] == right.sig[None, :, :]).sum(2) >= matches
+    close &= left.c[:, None] != right.c[None, :]
     if not close.any():
         return []
-    li, ri = ([np.asarray(r["items"], np.int64) for r in side] for side in (left, right))
-    lsize, rsize = (np.array([len(x) for x in side]) for side in (li, ri))
-    common = np.intersect1d(np.concatenate(li), np.concatenate(ri))
-    both = np.zeros((len(left), len(right)), np.float32)
-    where = [[np.searchsorted(common, x[np.isin(x, common)]) for x in side] for side in (li, ri)]
+    common = np.intersect1d(left.items, right.items)
+    both = np.zeros((n, m), np.float32)
+    at = []
+    for side in (left, right):
+        k = np.minimum(np.searchsorted(common, side.items), max(len(common) - 1, 0))
+        hit = common[k] == side.items if len(common) else np.zeros(len(k), bool)
+        own, k = side.own[hit], k[hit]
+        o = np.argsort(k, kind="stable")
+        at.append((own[o], k[o]))
     for lo in range(0, len(common), 4096):
-        n = min(4096, len(common) - lo)
-        a, b = np.zeros((len(left), n), np.float32), np.zeros((len(right), n), np.float32)
-        for m, side in ((a, where[0]), (b, where[1])):
-            for k, at in enumerate(side):
-                m[k, at[(at >= lo) & (at < lo + n)] - lo] = 1
-        both += a @ b.T
-    ok = close & (100 * both >= share * (lsize[:, None] + rsize[None, :] - both))
+        width = min(4096, len(common) - lo)
+        ab = []
+        for (own, k), size in zip(at, (n, m), strict=True):
+            a, z = np.searchsorted(k, (lo, lo + width))
+            x = np.zeros((size, width), np.float32)
+            x[own[a:z], k[a:z] - lo] = 1
+            ab.append(x)
+        both += ab[0] @ ab[1].T
+    ok = close & (100 * both >= share * (left.size[:, None] + right.size[None, :] - both))
     at = [(k, int(ok[k].argmax())) for k in np.flatnonzero(ok.any(1)).tolist()] if one else np.argwhere(ok).tolist()
-    return [(left[i]["node"], right[j]["node"]) for i, j in at]
+    return [(int(left.node[i]), int(right.node[j])) for i, j in at]
 
 
 def blocked(tests: DataFrame, members: DataFrame, sigs: DataFrame, sets: Sets, matches: int, share: int, one: bool) -> DataFrame:
     """(a, b) links between ``tests`` and ``members``, both (node, c, g), of the same g."""
     nodes = tests.select("node").unionByName(members.select("node")).distinct()
     full = sets.of(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))).join(sigs, "node")
-    size = members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
-    packs = tests.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("np"))
+    # blocks are bounded by texts and by shingles, whichever is reached first
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS))
+    size, packs = (x.join(sigs.select("node", "n"), "node").groupBy("g").agg(blocks.alias(k)) for x, k in ((members, "nb"), (tests, "np")))
     text = F.struct("node", "c", "sig", "items")
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     right = members.join(size, "g").join(full, "node").groupBy("g", part("nb").alias("k")).agg(F.collect_list(text).alias("r"))
@@ -222,8 +252,8 @@ def blocked(tests: DataFrame, members: DataFrame, sigs: DataFrame, sets: Sets, m
 
     def run(batches):
         for b in batches:
-            for row in zip(b.column("l").to_pylist(), b.column("r").to_pylist(), strict=True):
-                found = block_links(*row, matches, share, one)
+            for k in range(b.num_rows):
+                found = block_links(*(Side.of(b.column(c).slice(k, 1).flatten()) for c in "lr"), matches, share, one)
                 if found:
                     yield record(a=[x for x, _ in found], b=[y for _, y in found])
 
@@ -241,6 +271,7 @@ def link(posts: DataFrame, sigs: DataFrame, sets: Sets, matches: int, share: int
     """``node, c`` for the nodes in postings that have a link; c is the component."""
     posts = saved(posts)
     n = posts.count()
+    crowded = frequent(posts, "tok")
     lab = tested = None
     before = None
     step = 0
@@ -280,7 +311,7 @@ def link(posts: DataFrame, sigs: DataFrame, sets: Sets, matches: int, share: int
             order = F.struct(F.xxhash64("node", F.lit(step)).alias("o"), "node", "c")
             hubs = cur.groupBy("tok").agg(F.min(order).alias("p"), F.max(order).alias("q"))
             hubs = hubs.select("tok", F.explode(F.array("p", "q")).alias("h")).select("tok", F.col("h.node").alias("y"), F.col("h.c").alias("cy"))
-            pairs = cur.select("tok", F.col("node").alias("x"), F.col("c").alias("cx")).join(hubs, "tok").where("cx <> cy")
+            pairs = spread_join(cur.select("tok", F.col("node").alias("x"), F.col("c").alias("cx")), hubs, "tok", crowded).where("cx <> cy")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -297,7 +328,7 @@ def link(posts: DataFrame, sigs: DataFrame, sets: Sets, matches: int, share: int
             if lab is None:
                 lab = new
             else:
-                moved = lab.join(new.select(F.col("node").alias("c"), F.col("c").alias("d")), "c", "left").select("node", F.coalesce("d", "c").alias("c"))
+                moved = spread_join(lab, new.select(F.col("node").alias("c"), F.col("c").alias("d")), "c", frequent(lab, "c"), "left").select("node", F.coalesce("d", "c").alias("c"))
                 lab = saved(moved.unionByName(new.join(lab.select("node"), "node", "left_anti")))
         if last:
             break
@@ -314,16 +345,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, share: int = 80, coordinates: i
     smallest id it differs between components where ids repeat; null for empty sets.
     """
     all_ = saved(signatures(docs, n, coordinates, carry))
-    # one row a set: the smallest id that has it
-    nodes = saved(all_.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")))
-    posts = saved(postings(nodes.select("node", "sig"), matches))
-    busy = posts.select("node").distinct()
-    sigs = saved(nodes.join(busy, "node", "left_semi").select("node", "sig"))
-    lab = link(posts, sigs, Sets(docs, nodes.select("node", "doc_id"), n), matches, share)
-    lab = nodes.select("node", "doc_id").join(lab, "node", "left").select("node", "doc_id", F.coalesce("c", "node").alias("c"))
-    least = lab.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    lab = lab.join(least, "c").select("node", "component_id", F.col("c").alias("component"))
-    out = all_.select("doc_id", "n_shingles", "node", *carry).join(lab, "node", "left")
+    with scratch():
+        # one row a set: the smallest id that has it, and a text
+        one = [F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("sig", "text_key", "n_shingles"))]
+        nodes = saved(all_.where("node IS NOT NULL").groupBy("node").agg(*one))
+        posts = saved(postings(nodes.select("node", "sig"), matches))
+        busy = posts.select("node").distinct()
+        sigs = saved(nodes.join(busy, "node", "left_semi").select("node", "sig", F.col("n_shingles").alias("n")))
+        lab = link(posts, sigs, Sets(docs, nodes.select("node", "text_key"), n), matches, share)
+        lab = saved(nodes.select("node", "doc_id").join(lab, "node", "left").select("node", "doc_id", F.coalesce("c", "node").alias("c")))
+        least = lab.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+        lab = saved(spread_join(lab, least, "c", frequent(lab, "c")).select("node", "component_id", F.col("c").alias("component")), keep=True)
+    rows = all_.select("doc_id", "n_shingles", "node", *carry)
+    out = spread_join(rows, lab, "node", frequent(rows, "node"), "left")
     comp = F.coalesce("component_id", "doc_id")
     more = [*carry, "component"] if carry else []
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"), *more)

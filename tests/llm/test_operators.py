@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, license_scan, lm, minhash, mixing, quality, rules, text, topk, toxicity, url_filter
+from tessera.llm import bpe, common, license_scan, lm, minhash, mixing, quality, rules, text, topk, toxicity, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -137,8 +138,8 @@ def test_minhash_small_texts_of_a_long_list_meet_every_large_component(spark):
     nodes = minhash.signatures(df, 5).cache()
     node = {r.doc_id: r.node for r in nodes.select("doc_id", "node").collect()}
     posts = spark.createDataFrame([(tok, node[k]) for tok, ks in lists.items() for k in ks], "tok long, node long")
-    sets_ = minhash.Sets(df, nodes.select("node", "doc_id"), 5)
-    got = {r.node: r.c for r in minhash.link(posts, nodes.select("node", "sig"), sets_, minhash.MATCHES, 80).collect()}
+    sets_ = minhash.Sets(df, nodes.select("node", "text_key"), 5)
+    got = {r.node: r.c for r in minhash.link(posts, nodes.select("node", "sig", F.col("n_shingles").alias("n")), sets_, minhash.MATCHES, 80).collect()}
     found = collections.defaultdict(set)
     for k, x in node.items():
         found[got.get(x, x)].add(k)
@@ -148,7 +149,10 @@ def test_minhash_small_texts_of_a_long_list_meet_every_large_component(spark):
 def test_block_links_equals_brute_force():
     rng = np.random.default_rng(1)
     side = [{"node": k, "c": k % 7, "sig": list(rng.integers(0, 3, 64)), "items": sorted(set(rng.integers(0, 12, 10).tolist()))} for k in range(40)]
-    got = set(minhash.block_links(side[:20], side[20:], 20, 60, False))
+    kind = pa.struct([("node", pa.int64()), ("c", pa.int64()), ("sig", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
+    made = pa.array([{**x, "sig": [int(y) for y in x["sig"]]} for x in side], kind)
+    left, right = minhash.Side.of(made[:20]), minhash.Side.of(made[20:])
+    got = set(minhash.block_links(left, right, 20, 60, False))
     want = set()
     for a in side[:20]:
         for b in side[20:]:
@@ -156,7 +160,53 @@ def test_block_links_equals_brute_force():
             if a["c"] != b["c"] and sum(x == y for x, y in zip(a["sig"], b["sig"])) >= 20 and 100 * i >= 60 * u:
                 want.add((a["node"], b["node"]))
     assert got == want
-    assert {a for a, _ in minhash.block_links(side[:20], side[20:], 20, 60, True)} == {a for a, _ in want}
+    assert {a for a, _ in minhash.block_links(left, right, 20, 60, True)} == {a for a, _ in want}
+
+
+def test_minhash_links_through_null_ids(spark):
+    """1 - null - 3: the text in the middle has no id, and no other link joins the ends."""
+    base = [f"w{k}" for k in range(200)]
+    edit = lambda w, *at: [f"e{k}" if k in at else x for k, x in enumerate(w)]
+    mid = edit(base, 20, 50, 80)
+    df = spark.createDataFrame([(1, " ".join(base)), (None, " ".join(mid)), (3, " ".join(edit(mid, 110, 140, 170)))], "doc_id long, text string")
+    got = sorted(map(tuple, minhash.near_duplicates(df, n=5).select("doc_id", "component_id").collect()), key=str)
+    sets = [set(zip(*(t[k:] for k in range(5)))) for t in (base, mid, edit(mid, 110, 140, 170))]
+    near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    assert near(sets[0], sets[1]) and near(sets[1], sets[2]) and not near(sets[0], sets[2])
+    assert got == [(1, 1), (3, 1), (None, 1)]
+
+
+def test_minhash_links_against_union_find(spark, monkeypatch):
+    """Chains, large components and common passages, with every join's frequent keys and blocks made small."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "BLOCK_ITEMS", 1200)
+    monkeypatch.setattr(common, "HEAVY", 3)
+    rng = np.random.default_rng(12)
+    common_part = [f"c{k}" for k in range(90)]
+    texts = []
+    for c in range(5):
+        base = [*common_part, *(f"b{c}w{k}" for k in range(40))]
+        chain = base
+        for k in range(16):
+            chain = [f"e{len(texts)}x{i}" if i in at else w for at in [set(rng.choice(len(base), 2, replace=False).tolist())] for i, w in enumerate(chain if k % 2 else base)]
+            texts.append(" ".join(chain))
+    texts += [" ".join([*common_part[:60], *(f"s{k}w{i}" for i in range(rng.integers(10, 60)))]) for k in range(50)]
+    sets = [frozenset(zip(t.split(), t.split()[1:])) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, n=2).collect()}
+    assert got == {k: find(k) for k in range(len(texts))}
 
 
 def test_license_spans(docs, rows):
@@ -416,8 +466,6 @@ def test_bpe_odd_texts(remember):
     t = tokenizers.Tokenizer.from_file(path)
     c = bpe.Codec(bpe.codec(path).v, remember)
     odd = ["", "don't I'LL 'S", "ΣΑΣ Σ İ ß ẞ Ǆ", "a\u00a0b\u2003c", "<|endoftext|>x<|startoftext|><|ENDOFTEXT|>", "e\u0301 \u0301x", "½²①", "!!!???..", "日本 テ", "ab" * 999, "a" * 3000, "\x00\x1c\x85\u200b", "🙂👩\u200d👧", "É×÷È", "x1y22z"]
-    import pyarrow as pa
-
     batch = pa.RecordBatch.from_arrays([pa.array(odd * 2)], names=["text"])
     for lo, hi, piece in text.pieces(batch, target=64):
         rows_, offs = c.rows(piece)
