@@ -297,10 +297,21 @@ def test_lm_is_a_distribution_and_windows_score_each_id_once():
 def test_lm_learns_from_all_texts(spark, monkeypatch):
     """Ranks are those of the whole corpus; windows reach the ends of long texts and grow in number with the input."""
     took = []
-    learn = lm.Model.learn
-    monkeypatch.setattr(lm.Model, "learn", lambda m, w, n: (took.append((m.rank, w, n)), learn(m, w, n, epochs=1)))
+    train = lm.trained
+
+    def trained(tables, model, groups):
+        got = tables.where("base = 2").select("g", "id_n").collect()
+        rows = np.concatenate([np.frombuffer(r.id_n, np.uint16).reshape(-1, lm.WIDTH + 2) for r in got])
+        before = model.flat()
+        train(tables, model, groups)
+        took.append((model.rank, rows[:, :-1], rows[:, -1].astype(int), groups, len({r.g for r in got}), np.abs(model.flat() - before).max()))
+
+    monkeypatch.setattr(lm, "trained", trained)
     monkeypatch.setattr(lm, "LEAST_WINDOWS", 64)
     monkeypatch.setattr(lm, "EVERY", 4)
+    monkeypatch.setattr(lm, "GROUP", 400)
+    monkeypatch.setattr(lm, "FAN", 2)
+    monkeypatch.setattr(lm, "EPOCHS", 1)
     # 600 texts of which some alone have a frequent word; long ones end in another
     rows = [(k, "one two three four " * 20 + ("zebra " * 300 if k % 40 == 0 else "")) for k in range(600)]
     rows += [(1000 + k, "one two " * 1500 + "apple " * 200) for k in range(3)]
@@ -314,7 +325,8 @@ def test_lm_learns_from_all_texts(spark, monkeypatch):
         urow, _ = codec.rows(text.Texts(raw, np.array([0, len(raw)])))
         texts.append(bpe.gather(codec.ids, codec.id_end, urow)[0].astype(np.int64))
     counts = np.bincount(np.concatenate([*texts, np.full(len(texts), lm.EOS)]), minlength=lm.IDS)
-    rank, w, n = took[1]
+    rank, w, n, groups, dealt, moved = took[1]
+    assert groups == dealt > took[0][3] and 0.01 < moved < 5
     assert (rank == np.minimum(lm.class_of(counts)[1], lm.TOP)).all()
     total = sum(-(-(len(t) + 1) // lm.WIDTH) for t in texts)
     assert abs(len(w) - (64 + total / 4)) < 0.2 * (64 + total / 4) and len(w) > 1.5 * len(took[0][1])
@@ -325,6 +337,21 @@ def test_lm_learns_from_all_texts(spark, monkeypatch):
     assert all(len(at) == 0 or (len(at) == 1 and at[0] == k and row[k - 1] in last) for at, row, k in zip(ends, w, n) if k > 0)
 
 
+def test_lm_sums_counts_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(lm, "RANGE", 100)
+    monkeypatch.setattr(lm, "FAN", 2)
+    rng = np.random.default_rng(3)
+    rows, want = [], collections.Counter()
+    for k in range(9):
+        key = np.sort(rng.choice(1000, 60, replace=False)).astype(np.uint64)
+        n = rng.integers(1, 2**40, 60)
+        rows.append((k % 2, bytearray(key.tobytes()), bytearray(n.tobytes())))
+        want.update({(k % 2, int(x)): int(c) for x, c in zip(key, n)})
+    got = lm.summed(spark.createDataFrame(rows, "base long, id_key binary, id_n binary").repartition(5))
+    pairs = [((r.base, int(x)), int(c)) for r in got for x, c in zip(np.frombuffer(r.id_key, np.uint64), np.frombuffer(r.id_n, np.int64))]
+    assert dict(pairs) == want and len(pairs) == len(want)
+
+
 def test_lm_empty(empty):
     assert lm.lm_scores(empty, F.lit(False)).count() == 0
 
