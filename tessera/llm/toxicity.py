@@ -6,7 +6,9 @@ Windows of ``LENGTH`` words that overlap by half run through a forward and a
 backward gated recurrent unit; attention pools the states; a text's score is that
 of its most toxic window.  Training is numpy back-propagation through time on
 labelled texts, each represented by that of all its windows that scores highest at
-the time; the cut between the classes is set on the maxima of whole texts, as scored.
+the time (one at random before the first round), with words left out at random.  A
+quarter of the sample is held back: a logistic fit of its labels on the maxima of its
+whole texts, as scored, gives the score's scale and the cut between the classes.
 
 Defined cases: null and empty texts (and texts without letters) get the score of an
 empty window; no usable labels give 0.5 for all, labels of one class that class;
@@ -74,28 +76,29 @@ class Net:
         }
 
     def project(self, x: np.ndarray) -> np.ndarray:
-        """Gate inputs (words + 1, 6 HIDDEN) as float32; the last row is the pad, which keeps the state."""
+        """Gate inputs (2 directions, words + 1, 3 HIDDEN) as float32; the last word is the pad, which keeps the state."""
         p = self.p
-        out = np.empty((len(x) + 1, 6 * HIDDEN), np.float32)
-        for lo in range(0, len(x), 1 << 15):
-            e = p["emb"][x[lo : lo + (1 << 15), 0]]
-            for k in range(1, x.shape[1]):
-                e += p["emb"][x[lo : lo + (1 << 15), k]]
-            out[lo : lo + len(e)] = e @ p["wx"] + p["bx"]
-        out[-1] = 0
-        out[-1, HIDDEN : 2 * HIDDEN] = out[-1, 4 * HIDDEN : 5 * HIDDEN] = 60
+        e = p["emb"][x[:, 0]]
+        for k in range(1, x.shape[1]):
+            e += p["emb"][x[:, k]]
+        return self.padded(e @ p["wx"] + p["bx"])
+
+    @staticmethod
+    def padded(g: np.ndarray) -> np.ndarray:
+        out = np.zeros((2, len(g) + 1, 3 * HIDDEN), np.float32)
+        out[0, :-1], out[1, :-1] = g[:, : 3 * HIDDEN], g[:, 3 * HIDDEN :]
+        out[:, -1, HIDDEN : 2 * HIDDEN] = 60
         return out
 
     def states(self, gates: np.ndarray, idx: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States (LENGTH, 2, windows, HIDDEN); gates are r, z, n of each direction."""
         n, h3 = idx.shape[1], 3 * HIDDEN
-        fwd, bwd = np.ascontiguousarray(gates[:, :h3]), np.ascontiguousarray(gates[:, h3:])
         out = np.empty((LENGTH, 2, n, HIDDEN), np.float32)
         h = np.zeros((2, n, HIDDEN), np.float32)
         g = np.empty((2, n, h3), np.float32)
         for t in range(LENGTH):
-            np.take(fwd, idx[t], axis=0, out=g[0])
-            np.take(bwd, idx[LENGTH - 1 - t], axis=0, out=g[1])
+            np.take(gates[0], idx[t], axis=0, out=g[0])
+            np.take(gates[1], idx[LENGTH - 1 - t], axis=0, out=g[1])
             a = h @ self.p["u"]
             rz = g[..., : 2 * HIDDEN] + a[..., : 2 * HIDDEN]
             np.negative(rz, out=rz)
@@ -122,11 +125,15 @@ class Net:
         pooled = np.einsum("lb,ldbh->bdh", a, s, optimize=True).reshape(s.shape[2], 2 * HIDDEN)
         return a, pooled, pooled @ self.p["w"] + self.p["b"][0]
 
-    def logits(self, gates: np.ndarray, first: np.ndarray, stop: np.ndarray, batch: int = 2048) -> np.ndarray:
+    def logits(self, x: np.ndarray, first: np.ndarray, stop: np.ndarray, batch: int = 2048) -> np.ndarray:
+        """Logits of windows over the words ``x``; only the words of a batch of windows are held as gates."""
         out = np.empty(len(first), np.float32)
-        pad = len(gates) - 1
         for lo in range(0, len(first), batch):
-            idx = window_index(first[lo : lo + batch], stop[lo : lo + batch], pad)
+            f, z = first[lo : lo + batch], stop[lo : lo + batch]
+            start, end = int(f.min()), int(np.minimum(f + LENGTH, z).max())
+            gates = self.project(x[start:end])
+            pad = max(end - start, 0)
+            idx = window_index(f - start, z - start, pad)
             hole = idx == pad
             hole[0] = False
             out[lo : lo + batch] = self.head(self.states(gates, idx), hole)[2]
@@ -137,10 +144,7 @@ class Net:
         p, n = self.p, x.shape[1]
         e = p["emb"][x].sum(2)
         e[hole] = 0
-        gates = np.empty((LENGTH * n + 1, 6 * HIDDEN), np.float32)
-        gates[:-1] = (e @ p["wx"] + p["bx"]).reshape(-1, 6 * HIDDEN)
-        gates[-1] = 0
-        gates[-1, HIDDEN : 2 * HIDDEN] = gates[-1, 4 * HIDDEN : 5 * HIDDEN] = 60
+        gates = self.padded((e @ p["wx"] + p["bx"]).reshape(-1, 6 * HIDDEN))
         idx = np.where(hole, LENGTH * n, np.arange(LENGTH * n).reshape(LENGTH, n))
         keep: list = []
         s = self.states(gates, idx, keep)
@@ -180,15 +184,6 @@ class Net:
         return grad
 
 
-def odds(texts: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Log-odds of each hashed input between texts of the classes, rare ones shrunk to 0."""
-    seen = np.zeros((2, 1 << BITS), np.int64)
-    for x, label in zip(texts, y, strict=True):
-        seen[label, np.unique(x)] += 1
-    a, b, k = y.sum(), (y == 0).sum(), 6.0
-    return np.log((seen[1] + k * a / (a + b)) / a) - np.log((seen[0] + k * b / (a + b)) / b)
-
-
 def _logits(net: Net, texts: list[np.ndarray], words: int = 1 << 16) -> list[np.ndarray]:
     """Logits of every window of each text, some texts at a time."""
     out, k = [], 0
@@ -199,39 +194,62 @@ def _logits(net: Net, texts: list[np.ndarray], words: int = 1 << 16) -> list[np.
             z += 1
         offs = np.concatenate([[0], np.cumsum([len(t) for t in texts[k:z]])])
         first, woffs = windows(offs)
-        logit = net.logits(net.project(np.concatenate(texts[k:z])), first, np.repeat(offs[1:], np.diff(woffs)))
+        logit = net.logits(np.concatenate(texts[k:z]), first, np.repeat(offs[1:], np.diff(woffs)))
         out += np.split(logit, woffs[1:-1])
         k = z
     return out
 
 
-def train(texts: list[tuple[np.ndarray, int]], epochs: int = 9, batch: int = 128, rate: float = 0.01, seed: int = 3) -> Net:
-    """A net from (hashed inputs, label) of texts; hashed inputs are those of whole texts."""
+def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of logits by a logistic fit in which the classes weigh the same."""
+    a, b = 1.0, 0.0
+    pos, neg = (y == 1).sum(), (y == 0).sum()
+    goal = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    w = np.where(y == 1, 0.5 / pos, 0.5 / neg)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        g, h = w * (p - goal), w * p * (1 - p) + 1e-9
+        grad = np.array([(g * z).sum() + 1e-3 * (a - 1), g.sum()])
+        hess = np.array([[(h * z * z).sum() + 1e-3, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-6]])
+        step = np.clip(np.linalg.solve(hess, grad), -1, 1)
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-9:
+            break
+    return max(float(a), 0.05), float(b)
+
+
+def train(texts: list[tuple[np.ndarray, int]], epochs: int = 9, batch: int = 128, rate: float = 0.01, drop: float = 0.2, seed: int = 3) -> Net:
+    """A net from (hashed inputs, label) of texts; hashed inputs are those of whole texts.
+
+    Every fourth text of each class is held back for the cut, where a class has 8 or more.
+    """
     net = Net()
     y = np.array([t[1] for t in texts], int)
     if len(set(y.tolist())) < 2:
         net.p["w"][:] = 0
         net.p["b"][:] = 0 if not len(y) else 6 if y[0] else -6
         return net
+    back = np.zeros(len(y), bool)
+    for cls in (0, 1):
+        at = np.flatnonzero(y == cls)
+        if len(at) >= 8:
+            back[at[3::4]] = True
+    held = [t for t, h in zip(texts, back, strict=True) if h] if back[y == 0].any() and back[y == 1].any() else texts
+    if held is not texts:
+        texts = [t for t, h in zip(texts, back, strict=True) if not h]
+        y = y[~back]
     x = np.concatenate([t[0] for t in texts])
     offs = np.concatenate([[0], np.cumsum([len(t[0]) for t in texts])])
     own = [t[0] for t in texts]
-    # what the labelled texts say of an input is where its embedding starts
-    lo = odds(own, y)
-    net.p["emb"][:, 0] += np.clip(lo, -1.5, 4).astype(np.float32) * 0.25
     first, woffs = windows(offs)
     stop = np.repeat(offs[1:], np.diff(woffs))
-    strong = np.where(lo > 1.5, lo, 0)
-    c = np.concatenate([[0.0], np.cumsum(sum(strong[x[:, k]] for k in range(x.shape[1])))])
-    logit = c[np.minimum(first + LENGTH, stop)] - c[first]
     rng = np.random.default_rng(seed)
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (y == 0).sum()))
     mom = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items() if k != "emb"}
     g2 = np.zeros(1 << BITS, np.float32)
     k = 0
     for epoch in range(epochs):
-        if epoch >= 2:
-            logit = np.concatenate(_logits(net, own))
+        logit = np.concatenate(_logits(net, own)) if epoch else rng.random(woffs[-1])
         best = np.array([a + int(np.argmax(logit[a:b])) for a, b in zip(woffs[:-1], woffs[1:], strict=True)])
         some = woffs[:-1] + (rng.random(len(y)) * np.diff(woffs)).astype(int)
         clean = np.flatnonzero(y == 0)
@@ -241,7 +259,7 @@ def train(texts: list[tuple[np.ndarray, int]], epochs: int = 9, batch: int = 128
         for lo_ in range(0, len(order), batch):
             o = order[lo_ : lo_ + batch]
             idx = window_index(first[pick[o]], stop[pick[o]], len(x))
-            hole = idx == len(x)
+            hole = (idx == len(x)) | (rng.random(idx.shape) < drop)
             grad = net.step(x[np.minimum(idx, max(len(x) - 1, 0))], hole, label[o].astype(np.float32), wt[o])
             k += 1
             rows, ge = grad.pop("emb")
@@ -252,14 +270,9 @@ def train(texts: list[tuple[np.ndarray, int]], epochs: int = 9, batch: int = 128
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 net.p[name] -= (rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)).astype(np.float32)
-    # the cut between the classes of whole texts
-    top = np.array([z.max() for z in _logits(net, own)])
-    o = np.argsort(top)
-    right = np.cumsum((y[o] == 0) * weight[o]) + np.cumsum((((y[o] == 1) * weight[o])[::-1]))[::-1] - (y[o] == 1) * weight[o]
-    cuts = np.flatnonzero(right >= right.max() - 1e-9)
-    cut = cuts[len(cuts) // 2]
-    at = (top[o[cut]] + top[o[min(cut + 1, len(o) - 1)]]) / 2
-    net.p["b"] -= np.float32(at)
+    a, b = calibrate(np.array([z.max() for z in _logits(net, [t[0] for t in held])], float), np.array([t[1] for t in held]))
+    net.p["w"] *= np.float32(a)
+    net.p["b"] = (net.p["b"] * a + b).astype(np.float32)
     return net
 
 
@@ -293,7 +306,7 @@ def scores(t: Texts, net: Net) -> tuple[np.ndarray, np.ndarray]:
     """Score and number of windows of each text."""
     x, offs = inputs(t)
     first, woffs = windows(offs)
-    z = net.logits(net.project(x), first, np.repeat(offs[1:], np.diff(woffs)))
+    z = net.logits(x, first, np.repeat(offs[1:], np.diff(woffs)))
     top = np.maximum.reduceat(z, woffs[:-1]).astype(np.float64)
     return 1 / (1 + np.exp(-np.clip(top, -30, 30))), np.diff(woffs)
 

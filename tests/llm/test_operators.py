@@ -407,6 +407,17 @@ def test_toxicity_learns_from_whole_long_texts(spark):
     assert [len(x) for x, _ in took] == [1600] * 10 and sorted(label for _, label in took) == [0] * 5 + [1] * 5
 
 
+def test_toxicity_windows_of_a_long_text_in_batches():
+    """A text's logits don't depend on how many windows are scored at a time."""
+    rng = np.random.default_rng(2)
+    net = toxicity.Net()
+    x = rng.integers(0, 1 << toxicity.BITS, (5000, toxicity.INPUTS)).astype(np.uint16)
+    offs = np.array([0, 0, 7, 4990, 5000])
+    first, woffs = toxicity.windows(offs)
+    stop = np.repeat(offs[1:], np.diff(woffs))
+    assert np.allclose(net.logits(x, first, stop, 10_000), net.logits(x, first, stop, 3), atol=1e-5)
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(0)
     net = toxicity.Net()
