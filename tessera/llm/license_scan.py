@@ -2,15 +2,18 @@
 
 Templates are cut into words (runs of ASCII letters and digits or of non-ASCII
 bytes, A-Z lower-cased); hashes of ``GRAM`` neighbouring words are winnowed with
-``WINDOW`` into an inverted index from fingerprint to (template, position).  Every
-gram of every whole text is looked up in it, so a text that shares a winnowed gram
-can't be missed.  Hits of a template near one diagonal are one candidate; a banded
-local alignment of the template against that stretch gives the matched words,
-the coverage (matched / template words) and the span.
+``WINDOW`` into an inverted index from fingerprint to (template, position); templates
+of under ``SHORT`` words have all their word pairs in it, so that one changed word leaves
+a hit.  Every gram of every whole text is looked up in it, so a text that shares a
+winnowed gram can't be missed.  Hits of a template near one diagonal are one candidate;
+where the stretch has enough of the template's words, a banded local alignment gives the
+matched words, the coverage (matched / template words) and the span.  The words of the
+best match are taken and the rest aligned again, until nothing is left.
 
 Defined cases: null and empty texts and texts without a match give no row; each
-occurrence in a text is one row, and of overlapping ones of a template the best
-stays (ties: the first); repeated rows are scanned each; other columns are ignored.
+occurrence in a text is one row, also where notices stand next to each other, and of
+overlapping ones of a template the best stays (ties: the first); repeated rows are
+scanned each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_batches, record, table
+from tessera.llm.license_texts import FULL_TEXTS
 from tessera.llm.text import Texts, ngrams, owners, pieces
 
 GRAM, WINDOW, BAND, LEAST = 3, 4, 6, 0.8
+#: Templates of fewer words are indexed by all word pairs.
+SHORT = 10
 
-#: Short public notices, as they stand in files; a parameter of ``scan``.
+#: Public notices as they stand in files, and full texts; a parameter of ``scan``.
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -51,6 +57,7 @@ TEMPLATES = {
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    **FULL_TEXTS,
 }
 
 _WORD = np.zeros(256, bool)
@@ -72,25 +79,27 @@ def winnow(g: np.ndarray, window: int) -> np.ndarray:
 
 
 class Index:
-    """Inverted index of the templates' fingerprints."""
+    """Inverted index of the templates' fingerprints, one for each length of gram."""
 
     def __init__(self, templates: dict[str, str]):
         self.names, self.words = list(templates), []
-        keys, owner, pos = [], [], []
+        found: dict[int, list] = {2: [], GRAM: []}
         for k, text in enumerate(templates.values()):
             raw = np.frombuffer(text.encode(), np.uint8)
             t = Texts(raw, np.array([0, len(raw)]))
             s, e, _ = _words(t)
             h = t.hashes(s, e)
             self.words.append(h)
-            g = ngrams(h, GRAM)
-            at = winnow(g, WINDOW)
-            keys.append(g[at])
-            owner += [k] * len(at)
-            pos.append(at)
-        key, owner, pos = np.concatenate(keys), np.array(owner), np.concatenate(pos)
-        order = np.argsort(key, kind="stable")
-        self.key, self.owner, self.pos = key[order], owner[order], pos[order]
+            n = 2 if len(h) < SHORT else GRAM
+            g = ngrams(h, n)
+            at = np.arange(len(g)) if n == 2 else winnow(g, WINDOW)
+            found[n].append((g[at], np.full(len(at), k), at))
+        self.grams = {}
+        for n, parts in found.items():
+            if parts:
+                key, owner, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.argsort(key, kind="stable")
+                self.grams[n] = key[order], owner[order], pos[order]
 
 
 def align(template: np.ndarray, text: np.ndarray, shift: int) -> tuple[int, int, int]:
@@ -122,34 +131,49 @@ def scan_piece(t: Texts, index: Index, least: float) -> list[tuple[int, int, int
     """(document, template, matched words, first byte, end byte) of every match."""
     starts, ends, woffs = _words(t)
     h = t.hashes(starts, ends)
-    g = ngrams(h, GRAM)
-    lo, hi = np.searchsorted(index.key, g), np.searchsorted(index.key, g, side="right")
-    at = np.flatnonzero(hi > lo)
     own = owners(woffs)
-    at = at[own[at] == own[at + GRAM - 1]]
     spots: dict[tuple[int, int], set[int]] = {}
-    for a in at.tolist():
-        d = int(own[a])
-        for x in range(lo[a], hi[a]):
-            spots.setdefault((d, int(index.owner[x])), set()).add(a - int(woffs[d]) - int(index.pos[x]))
+    for n, (key, owner, pos) in index.grams.items():
+        g = ngrams(h, n)
+        lo = np.searchsorted(key, g)
+        at = np.flatnonzero(key[np.minimum(lo, len(key) - 1)] == g) if len(key) else np.zeros(0, int)
+        at = at[own[at] == own[at + n - 1]]
+        for a in at.tolist():
+            d, x = int(own[a]), int(lo[a])
+            while x < len(key) and key[x] == g[a]:
+                spots.setdefault((d, int(owner[x])), set()).add(a - int(woffs[d]) - int(pos[x]))
+                x += 1
     out = []
     for (d, k), diagonals in spots.items():
-        tpl = index.words[k]
-        found, last = [], None
-        for s in sorted(diagonals):
-            if last is not None and s - last <= BAND // 2:
-                continue  # the band of the one before holds it
-            last = s
+        tpl, text = index.words[k], h[woffs[d] : woffs[d + 1]]
+        kinds, count = np.unique(tpl, return_counts=True)
+        need = least * len(tpl)
+        free = np.ones(len(text), bool)
+
+        def aligned(s):
+            """(-matched, first word, last word) near a diagonal among the free words, or None."""
             base = max(0, s - BAND)
-            words = h[woffs[d] + base : min(woffs[d + 1], woffs[d] + s + len(tpl) + BAND)]
-            m, first, end = align(tpl, words, s - base)
-            if m >= least * len(tpl):
-                found.append((-m, first + base, end + base))
-        taken: list[tuple[int, int]] = []
-        for m, first, end in sorted(found):
-            if all(end < a or first > b for a, b in taken):
-                taken.append((first, end))
-                out.append((d, k, -m, int(starts[woffs[d] + first]), int(ends[woffs[d] + end])))
+            end = min(len(text), s + len(tpl) + BAND)
+            stretch, open_ = text[base:end], free[base:end]
+            at = np.minimum(np.searchsorted(kinds, stretch), len(kinds) - 1)
+            hit = (kinds[at] == stretch) & open_
+            if np.minimum(np.bincount(at[hit], minlength=len(kinds)), count).sum() < need:
+                return None
+            words = np.where(hit, at, -1)
+            m, first, last = align(np.searchsorted(kinds, tpl).tolist(), words.tolist(), s - base)
+            return (-m, first + base, last + base) if m >= need else None
+
+        live, last = {}, None
+        for s in sorted(diagonals):
+            if last is None or s - last > BAND // 2:  # else the band of the one before holds it
+                live[s], last = aligned(s), s
+        while live := {s: x for s, x in live.items() if x}:
+            m, first, end = min(live.values())
+            out.append((d, k, -m, int(starts[woffs[d] + first]), int(ends[woffs[d] + end])))
+            free[first : end + 1] = False
+            for s, x in live.items():
+                if not (x[1] > end or x[2] < first):
+                    live[s] = aligned(s)
     return sorted(out)
 
 

@@ -226,6 +226,44 @@ def test_license_with_edits(spark):
     assert r.license == "mit-grant" and 0.8 <= r.coverage < 1 and r.span_start == len("intro words here ")
 
 
+def test_license_notices_side_by_side(spark):
+    df = spark.createDataFrame([(1, "All rights reserved. All rights reserved.\nall RIGHTS reserved"), (2, "Released under the OLD License. Released the MIT License.")], "doc_id long, text string")
+    got = [(r.doc_id, r.license, r.matched, r.span_start) for r in license_scan.scan(df).orderBy("doc_id", "span_start").collect()]
+    assert got == [(1, "all-rights-reserved", 3, 0), (1, "all-rights-reserved", 3, 21), (1, "all-rights-reserved", 3, 42), (2, "mit", 4, 0), (2, "mit", 4, 32)]
+
+
+def test_license_recall_against_full_alignment():
+    """Every template with random words changed, left out or put in, against an alignment of all words (no index, no band)."""
+    rng = np.random.default_rng(7)
+    index = license_scan.Index(license_scan.TEMPLATES)
+    word = re.compile(r"[A-Za-z0-9\x80-\uffff]+")
+
+    def common_words(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b):
+                before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j], row[j + 1])
+        return row[-1]
+
+    wanted = found = 0
+    for k, (name, template) in enumerate(license_scan.TEMPLATES.items()):
+        tpl = word.findall(template.lower())
+        for share in (0.0, 0.05, 0.1, 0.15, 0.2, 0.3):
+            w = list(tpl)
+            for at in rng.choice(len(w), int(share * len(w)), replace=False):
+                w[at] = str(rng.choice(["", "other", f"{w[at]} more"]))
+            w = " ".join(w).split()
+            raw = " ".join([*(f"f{i}" for i in range(30)), *w, *(f"g{i}" for i in range(30))])
+            buf = np.frombuffer(raw.encode(), np.uint8)
+            hits = [x for x in license_scan.scan_piece(text.Texts(buf, np.array([0, len(buf)])), index, license_scan.LEAST) if x[1] == k]
+            true = common_words(tpl, w) >= license_scan.LEAST * len(tpl)
+            wanted += true
+            found += true and len(hits) == 1
+            assert true or not hits, (name, share)
+    assert wanted > 80 and found >= 0.95 * wanted, (found, wanted)
+
+
 def test_rule_statistics(docs, rows):
     def brute(t):
         w, seen, dup, marked = words(t, False), set(), 0, set()
