@@ -552,7 +552,7 @@ def test_bpe_odd_texts(remember):
 
 
 def test_url_filter(spark):
-    urls = ["http://a.example.com/en/7", "HTTP://A.Example.COM/en/8?x#y", "https://example.com/en/70/", "https://com/en/", "http://x.net/de/8", "https://example.net/de/81#q", "no scheme", None, "", "http://", "ftp://u@h.org:80/es/", "x://a.org?/es/", "http://ccom/en/", "http://a.example.com/en/7"]
+    urls = ["https://shop.example.net/de/80"] * 40 + ["http://b.org/x"] * 33 + ["http://a.example.com/en/7", "HTTP://A.Example.COM/en/8?x#y", "https://example.com/en/70/", "https://com/en/", "http://x.net/de/8", "https://example.net/de/81#q", "no scheme", None, "", "http://", "ftp://u@h.org:80/es/", "x://a.org?/es/", "http://ccom/en/", "http://a.example.com/en/7"]
     pages = spark.createDataFrame([(k % 13, u, "h") for k, u in enumerate(urls)], "page_id long, url string, digest string")
     got = url_filter.judge_urls(pages, url_filter.rules_frame(spark)).select("page_id", "url", "host", "path", "rule", "verdict")
     want = []
