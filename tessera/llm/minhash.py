@@ -246,8 +246,8 @@ def blocked(tests: DataFrame, members: DataFrame, sigs: DataFrame, sets: Sets, m
     size, packs = (x.join(sigs.select("node", "n"), "node").groupBy("g").agg(blocks.alias(k)) for x, k in ((members, "nb"), (tests, "np")))
     text = F.struct("node", "c", "sig", "items")
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    right = members.join(size, "g").join(full, "node").groupBy("g", part("nb").alias("k")).agg(F.collect_list(text).alias("r"))
-    left = tests.join(packs, "g").join(full, "node").groupBy("g", part("np").alias("p")).agg(F.collect_list(text).alias("l"))
+    right = spread_join(members, size, "g", frequent(members, "g")).join(full, "node").groupBy("g", part("nb").alias("k")).agg(F.collect_list(text).alias("r"))
+    left = spread_join(tests, packs, "g", frequent(tests, "g")).join(full, "node").groupBy("g", part("np").alias("p")).agg(F.collect_list(text).alias("l"))
     left = left.join(size, "g").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
 
     def run(batches):
@@ -289,8 +289,9 @@ def link(posts: DataFrame, sigs: DataFrame, sets: Sets, matches: int, share: int
             held = cur.groupBy("tok", "c").count()
             big = held.groupBy("tok").agg(F.max_by("c", F.struct("count", "c")).alias("big"), F.count("*").alias("k")).where("k > 1")
             small = cur.join(big, "tok").where("c <> big").select("tok", F.col("node").alias("x"), F.col("c").alias("cx"), "big")
-            wide = cur.select("node", "c").distinct().groupBy("c").count().where(F.col("count") > FEW).select("c")
-            few = saved(cur.join(wide, "c", "left_anti"))
+            hot = frequent(cur, "c")
+            wide = saved(cur.select("node", "c").distinct().groupBy("c").count().where(F.col("count") > FEW).select("c"))
+            few = saved(spread_join(cur, wide, "c", hot, "left_anti"))
             long_lists = few.groupBy("tok").count().where(F.col("count") > BLOCK // 8).select("tok")
             # texts against large components; small texts of a long list meet all of them, as no other test does
             tests = small.join(held.select("tok", F.col("c").alias("g")), "tok").where("cx <> g AND (g = big OR cx < g)").select("x", "cx", "g")
@@ -299,7 +300,7 @@ def link(posts: DataFrame, sigs: DataFrame, sets: Sets, matches: int, share: int
             far = saved(tests.join(wide.select(F.col("c").alias("g")), "g", "left_semi").select(F.col("x").alias("node"), F.col("cx").alias("c"), "g").distinct())
             linked = []
             if not far.isEmpty():
-                of = cur.select("node", "c").distinct().join(far.select(F.col("g").alias("c")).distinct(), "c", "left_semi")
+                of = spread_join(cur.select("node", "c").distinct(), far.select(F.col("g").alias("c")).distinct(), "c", hot, "left_semi")
                 linked.append(blocked(far, saved(of.withColumn("g", F.col("c"))), sigs, sets, matches, share, True))
             # texts of small components: in blocks where a list has many, else pair by pair
             many = saved(few.join(long_lists, "tok", "left_semi").select("node", "c", F.col("tok").alias("g")))
