@@ -80,8 +80,11 @@ def _number(node: ast.expr) -> float | int | None:
     return None
 
 
-def check(formula: str, allowed: set[str] | None = None) -> list[str]:
-    """What is wrong with a formula; nothing if it is fine."""
+def check(formula: str, allowed: set[str] | None = None, financial: set[str] | None = None) -> list[str]:
+    """What is wrong with a formula; nothing if it is fine.
+
+    ``allowed`` are the fields that it may use, ``financial`` those that the FIN_ operators take.
+    """
     try:
         tree = parse(formula)
     except FormulaError as e:
@@ -119,6 +122,10 @@ def check(formula: str, allowed: set[str] | None = None) -> list[str]:
                 v = _number(x)
                 if v is None or op.whole and (not isinstance(v, int) or v < 1):
                     out.append(f"{n.func.id} needs a {'positive whole ' * op.whole}number")
+            if n.func.id.startswith("FIN_") and financial is not None:
+                for x in n.args[: op.columns]:
+                    if not isinstance(x, ast.Name) or x.id[len(_PREFIX) :] not in financial:
+                        out.append(f"{n.func.id} takes a reported field")
             for x in n.args[: op.columns]:
                 walk(x)
         else:
@@ -128,7 +135,7 @@ def check(formula: str, allowed: set[str] | None = None) -> list[str]:
     return out
 
 
-def check_batch(candidates: list[dict], allowed: set[str] | None = None) -> list[str]:
+def check_batch(candidates: list[dict], allowed: set[str] | None = None, financial: set[str] | None = None) -> list[str]:
     """Checks of a batch of 1 to 5 candidates with unique names and declared inputs."""
     out = [] if 1 <= len(candidates) <= 5 else ["a batch has 1 to 5 candidates"]
     names = [c.get("name") for c in candidates]
@@ -138,7 +145,7 @@ def check_batch(candidates: list[dict], allowed: set[str] | None = None) -> list
         if missing:
             out.append(f"{c.get('name')}: no {', '.join(sorted(missing))}")
             continue
-        out += [f"{c['name']}: {x}" for x in check(c["formula"], allowed)]
+        out += [f"{c['name']}: {x}" for x in check(c["formula"], allowed, financial)]
         if c["availability"] != "after_close":
             out.append(f"{c['name']}: availability is after_close")
         if sorted(set(c["inputs"])) != fields(c["formula"]):
@@ -155,7 +162,7 @@ def compile_formula(p: Panel, formula: str) -> Column:
         if (v := _number(n)) is not None:
             return F.lit(float(v))
         if isinstance(n, ast.Name):
-            return F.col(n.id[len(_PREFIX) :]).cast("double")
+            return F.col(n.id[len(_PREFIX) :]).try_cast("double")  # text that is no number is missing
         if isinstance(n, ast.BinOp):
             return _MATH[type(n.op)](visit(n.left), visit(n.right))
         if isinstance(n, ast.UnaryOp):

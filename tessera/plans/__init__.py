@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from tessera.plans import audit, base, factors, operators, pit, portfolio, statistics  # noqa: F401
+    from tessera.plans import audit, base, evaluation, factors, operators, pit, portfolio, statistics  # noqa: F401
 
     return base
 

@@ -152,13 +152,18 @@ add("frequency_robustness", _robust, f"WITH {BASE}, cal AS (SELECT date, row_num
 
 
 def _covariance(s, d):
-    """Shrunk covariance of industries' weekly returns: (row, column, value), and minimum-variance weights."""
+    """Shrunk covariance of sectors' weekly returns: (row, column, value), and minimum-variance weights."""
     nav = bars(s, d).join(meta(s, d).select("symbol", "sector"), "symbol").groupBy("sector", "date").agg(F.avg("close").alias("nav"))
     ret = nav.withColumn("ret", F.log("nav") - F.log(F.lag("nav").over(Window.partitionBy("sector").orderBy("date")))).where("ret IS NOT NULL")
-    return models.shrunk_covariance(ret, "sector", "date", "ret")
+    return models.minimum_variance(models.shrunk_covariance(ret, "sector", "date", "ret", 52.0))
 
 
-add("covariance_weights", _covariance)
+add("covariance_weights", _covariance, None, 4)
+COV = f"""{META}, nv AS (SELECT sector, date, avg(close) AS nav FROM b JOIN meta USING (symbol) GROUP BY 1, 2), rr AS (SELECT sector AS i, date AS t, ln(nav) - ln(lag(nav) OVER (PARTITION BY sector ORDER BY date)) AS v FROM nv), rt2 AS (SELECT * FROM rr WHERE v IS NOT NULL), md AS (SELECT i, quantile_cont(v, 0.5) AS mid FROM rt2 GROUP BY 1),
+  gr AS (SELECT md.i, t.t, coalesce(v, mid) AS v FROM md, (SELECT DISTINCT t FROM rt2) t LEFT JOIN rt2 ON rt2.i = md.i AND rt2.t = t.t), ce AS (SELECT i, t, v - avg(v) OVER (PARTITION BY i) AS a FROM gr),
+  mm AS (SELECT x.i, y.i AS j, count(*) AS n, avg(x.a * y.a) AS s, avg(x.a * x.a * y.a * y.a) AS q, CASE WHEN x.i = y.i THEN 1.0 ELSE 0.0 END AS same FROM ce x JOIN ce y ON x.t = y.t GROUP BY 1, 2), mu AS (SELECT *, sqrt(count(*) OVER ()) AS k, sum(s * same) OVER () / sqrt(count(*) OVER ()) AS mu FROM mm),
+  dd AS (SELECT *, sum((s - mu * same) * (s - mu * same)) OVER () / k AS d2, sum(q - s * s) OVER () / (n * k) AS b2 FROM mu), sh AS (SELECT *, CASE WHEN d2 > 0 THEN least(b2, d2) / d2 ELSE 1 END AS w FROM dd)"""
+add("shrunk_covariance", lambda s, d: _covariance(s, d).select("name", "other", "covariance"), f"WITH {WEEKS}, {COV} SELECT i AS name, j AS other, {r('52 * CASE WHEN n < 40 THEN s * same ELSE w * mu * same + (1 - w) * s END')} AS covariance FROM sh")
 
 
 def _mlp(s, d):

@@ -44,7 +44,7 @@ WINDOW = "WINDOW o AS (PARTITION BY symbol ORDER BY date), u AS (PARTITION BY sy
 def inputs(s, d) -> Panel:
     df = bars(s, d)
     week = F.floor(F.datediff("date", F.lit("1970-01-05").cast("date")) / 7)
-    return Panel(df.withColumn("turnover_rate", F.col("volume") / 1000).withColumn("pe_ttm", F.when((F.col("symbol") + week) % 10 != 0, F.col("close")).otherwise(0.0)).withColumns({"pb": F.col("volume"), "ps_ttm": F.col("amount"), "roe": F.col("open"), "roa": F.col("high"), "debt_to_assets": F.col("low"), "or_yoy": F.col("open"), "netprofit_yoy": F.col("close")}))
+    return Panel(df.withColumn("turnover_rate", F.col("volume") / 1000).withColumn("pe_ttm", F.when((F.col("symbol") + week) % 10 != 0, F.col("close")).otherwise(0.0)).withColumns({"pb": F.col("volume"), "ps_ttm": F.col("amount"), **{k: F.expr(x) for k, x in FIGURES.items()}}))
 
 
 def group(name: str, sql: dict[str, str], digits=6, ctes: str = "", source: str = "f") -> None:
@@ -135,8 +135,16 @@ group("factor_price_structure", {
     **{f"GAP{n}": roll("avg", f"(open - pc) / (pc + {E})", n) for n in (5, 10)},
     "MA_ALIGN_5_20": f"({full('avg', 'close', 5)} - {full('avg', 'close', 20)}) / ({full('avg', 'close', 20)} + {E})"})
 group("factor_value", {"EP": "CASE WHEN pe_ttm > 0 THEN 1 / pe_ttm ELSE 0 END", "BP": "CASE WHEN volume > 0 THEN 1 / volume ELSE 0 END", "SP": "CASE WHEN amount > 0 THEN 1 / amount ELSE 0 END"}, digits=9)
-group("factor_quality", {"ROE": "open", "ROA": "high", "LOW_DEBT": "-low", "ROIC": "NULL"})
-group("factor_growth", {"REV_YOY": "open", "PROFIT_YOY": "close", "REV_ACCEL": "open - lag(open) OVER o", "PROFIT_ACCEL": "close - lag(close) OVER o", "OP_YOY": "NULL"})
+#: Columns that stand for reported figures, each made of bars in its own way.
+FIGURES = {
+    "roe": "open / 10", "roa": "high / 20", "grossprofit_margin": "low / close", "netprofit_margin": "open - close", "current_ratio": "high / low", "roe_waa": "open + low", "roic": "high - open",
+    "quick_ratio": "volume / 100", "assets_turn": "amount / volume", "debt_to_assets": "low / high", "or_yoy": "open / close - 1", "netprofit_yoy": "close / low - 1", "op_yoy": "high / open", "ocf_yoy": "amount / 1000",
+    "roe_yoy": "open * 2 - high", "q_sales_yoy": "volume - 7", "q_op_qoq": "close - low",
+}
+_QUALITY = {"ROE": "roe", "ROA": "roa", "GPM": "grossprofit_margin", "NPM": "netprofit_margin", "CURRENT_RATIO": "current_ratio", "ROE_WAA": "roe_waa", "ROIC": "roic", "QUICK_RATIO": "quick_ratio", "ASSETS_TURN": "assets_turn"}
+_GROWTH = {"REV_YOY": "or_yoy", "PROFIT_YOY": "netprofit_yoy", "OP_YOY": "op_yoy", "OCF_YOY": "ocf_yoy", "ROE_YOY": "roe_yoy", "Q_SALES_YOY": "q_sales_yoy", "Q_OP_QOQ": "q_op_qoq"}
+group("factor_quality", {**{k: f"({FIGURES[c]})" for k, c in _QUALITY.items()}, "LOW_DEBT": f"-({FIGURES['debt_to_assets']})"})
+group("factor_growth", {**{k: f"({FIGURES[c]})" for k, c in _GROWTH.items()}, **{k: f"({FIGURES[c]}) - lag({FIGURES[c]}) OVER o" for k, c in (("REV_ACCEL", "or_yoy"), ("PROFIT_ACCEL", "netprofit_yoy"))}})
 
 
 def csrank(x: str) -> str:

@@ -158,7 +158,6 @@ def _model(kind):
     return run
 
 
-add("ridge", _model("ridge"))
 add("gbt", _model("gbt"), None, 4)
 
 

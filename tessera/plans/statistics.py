@@ -1,4 +1,4 @@
-"""Queries for information coefficients, quantiles, redundancy and gates."""
+"""Queries for information coefficients, quantiles, correlations of factors and gates."""
 
 from __future__ import annotations
 
@@ -42,7 +42,11 @@ add("labels", lambda s, d: Panel(bars(s, d)).df.select("symbol", "date", *[(F.le
 add("daily_ic", lambda s, d: st.daily_ic(long(s, d)).select("date", "factor", "n", "ic"), f"WITH {BASE} SELECT date, factor, n, {r('ic')} AS ic FROM ics")
 add("daily_rankic", lambda s, d: st.daily_ic(long(s, d)).select("date", "factor", "n", "rank_ic"), f"WITH {BASE} SELECT date, factor, n, {r('rank_ic')} AS rank_ic FROM ics")
 add("ic_summary", lambda s, d: st.ic_summary(st.daily_ic(long(s, d))), f"WITH {BASE} SELECT factor, {r('avg(rank_ic)')} AS mean, {r('stddev_samp(rank_ic)')} AS std, count(rank_ic) AS days, {r('avg(rank_ic) / (stddev_samp(rank_ic) + 1e-12)')} AS icir, {r('avg(rank_ic) / (stddev_samp(rank_ic) / sqrt(count(rank_ic)))')} AS t FROM ics GROUP BY 1")
-add("ic_p_values", lambda s, d: st.with_p_values(st.ic_summary(st.daily_ic(long(s, d)))).select("factor", "t", "p"))
+# Student's t with whole degrees as finite series of the angle
+P_SQL = f"""WITH {BASE}, a AS (SELECT factor, avg(rank_ic) / (stddev_samp(rank_ic) / sqrt(count(rank_ic))) AS t, count(rank_ic) - 1 AS v FROM ics GROUP BY 1), th AS (SELECT *, atan(abs(t) / sqrt(v)) AS th FROM a WHERE v >= 2),
+  tm AS (SELECT factor, v, th, j, coalesce(sum(CASE WHEN j > 0 THEN ln(CASE WHEN v % 2 = 0 THEN (2 * j - 1) / (2 * j) ELSE 2 * j / (2 * j + 1) END * cos(th) * cos(th)) END) OVER (PARTITION BY factor ORDER BY j), 0) AS s FROM (SELECT *, unnest(range(0, CAST(CASE WHEN v % 2 = 0 THEN v / 2 ELSE (v - 1) / 2 END AS BIGINT))) AS j FROM th)),
+  sm AS (SELECT factor, sum(exp(s)) AS s FROM tm GROUP BY 1), p AS (SELECT factor, t, 1 - CASE WHEN v % 2 = 0 THEN sin(th) * coalesce(s, 0) ELSE 2 / pi() * (th + sin(th) * cos(th) * coalesce(s, 0)) END AS p FROM th LEFT JOIN sm USING (factor)) SELECT factor, {r('t')} AS t, {r('p')} AS p FROM p"""
+add("ic_p_values", lambda s, d: st.with_p_values(st.ic_summary(st.daily_ic(long(s, d)))).select("factor", "t", "p").where("t IS NOT NULL"), P_SQL)
 
 
 def _offsets(s, d):
@@ -88,20 +92,15 @@ add("quantile_stats", _group_stats, f"WITH {GR}, nv AS (SELECT *, exp(sum(ln(1 +
 
 
 def _jaccard(s, d):
-    sets = _grid(s, d).where("grp = 4").groupBy("date").agg(F.collect_set("symbol").alias("set"))
-    before = F.lag("set").over(Window.orderBy("date"))  # one row a rebalance date
-    return sets.withColumn("was", before).where("was IS NOT NULL").select("date", (1 - F.size(F.array_intersect("set", "was")) / F.size(F.array_union("set", "was"))).alias("turnover"))
+    from tessera.operators.evaluation import overlap
 
+    top = _grid(s, d).where("grp = 4").select("date", "symbol")
+    dates = top.select("date").distinct().withColumn("t", F.row_number().over(Window.orderBy("date")))  # a calendar
+    o = overlap(top.join(F.broadcast(dates), "date").select(F.lit(0).alias("one"), "symbol", "t"), ["one"]).where("was IS NOT NULL")
+    return o.join(F.broadcast(dates), "t").select("date", (1 - C("both") / (C("n") + C("was") - C("both"))).alias("turnover"))
 
-add("jaccard_turnover", _jaccard, f"WITH {QG.format(g=5)}, st AS (SELECT date, list(symbol) AS s FROM qg WHERE grp = 4 GROUP BY 1), lw AS (SELECT date, s, lag(s) OVER (ORDER BY date) AS p FROM st) SELECT date, {r('1 - len(list_intersect(s, p)) / len(list_distinct(list_concat(s, p)))')} AS turnover FROM lw WHERE p IS NOT NULL")
-
-
-def _deciles(s, d):
-    g = _grid(s, d, 10).where("y IS NOT NULL").groupBy("grp").agg(F.avg("y").alias("ret"))
-    return g.agg(st.correlation(C("grp").cast("double"), "ret").alias("monotonic"), (F.max_by("ret", "grp") - F.min_by("ret", "grp")).alias("spread"))
 
-
-add("decile_monotonicity", _deciles, f"WITH {QG.format(g=10)}, a AS (SELECT grp, avg(y) AS ret FROM qg WHERE y IS NOT NULL GROUP BY 1) SELECT {r('covar_samp(grp, ret) / (stddev_samp(grp) * stddev_samp(ret))')} AS monotonic, {r('arg_max(ret, grp) - arg_min(ret, grp)')} AS spread FROM a")
+add("jaccard_turnover", _jaccard, f"WITH {QG.format(g=5)}, st AS (SELECT date, list(symbol) AS s FROM qg WHERE grp = 4 GROUP BY 1), lw AS (SELECT date, s, lag(s) OVER (ORDER BY date) AS p FROM st) SELECT date, {r('1 - len(list_intersect(s, p)) / len(list_distinct(list_concat(s, p)))')} AS turnover FROM lw WHERE p IS NOT NULL")
 
 
 # ---- redundancy
@@ -112,7 +111,7 @@ def _pairs(s, d):
 
 
 PAIRS = "pr AS (SELECT i.factor, j.factor AS other, covar_samp(i.rank_ic, j.rank_ic) / (stddev_samp(i.rank_ic) * stddev_samp(j.rank_ic)) AS corr FROM ics i JOIN ics j ON i.date = j.date AND i.factor < j.factor GROUP BY 1, 2)"
-add("redundancy_pairs", _pairs, f"WITH {BASE}, {PAIRS} SELECT factor, other, {r('corr')} AS corr FROM pr")
+add("ic_correlation", _pairs, f"WITH {BASE}, {PAIRS} SELECT factor, other, {r('corr')} AS corr FROM pr")
 
 
 def _prune(s, d):
@@ -122,7 +121,10 @@ def _prune(s, d):
     return s.createDataFrame(st.greedy_prune(list(score), score, corr, 0.3), "factor string, kept boolean, match string, corr double")
 
 
-add("greedy_prune", _prune)
+add("greedy_prune", _prune, f"""WITH RECURSIVE {BASE}, {PAIRS}, i AS (SELECT factor, row_number() OVER (ORDER BY avg(rank_ic) DESC, factor) AS k FROM ics GROUP BY 1), l AS (SELECT factor, list({{'o': other, 'c': corr}}) AS l FROM (SELECT factor, other, corr FROM pr UNION ALL SELECT other, factor, corr FROM pr) GROUP BY 1), o AS (SELECT i.k, i.factor, l.l FROM i LEFT JOIN l USING (factor)),
+  w AS (SELECT CAST(0 AS BIGINT) AS k, CAST('' AS VARCHAR) AS factor, CAST([] AS VARCHAR[]) AS kept, true AS ok, CAST(NULL AS VARCHAR) AS match, CAST(NULL AS DOUBLE) AS corr
+    UNION ALL SELECT z.k, z.factor, CASE WHEN coalesce(top.c <= 0.3, true) THEN list_append(z.kept, z.factor) ELSE z.kept END, coalesce(top.c <= 0.3, true), top.o, top.c FROM (SELECT o.k, o.factor, w.kept, list_sort(list_transform(list_filter(o.l, lambda x: list_contains(w.kept, x.o) AND x.c IS NOT NULL), lambda x: {{'c': x.c, 'o': x.o}}), 'DESC')[1] AS top FROM w JOIN o ON o.k = w.k + 1) z)
+  SELECT factor, ok AS kept, match, {r('corr')} AS corr FROM w WHERE k > 0""")
 
 
 def _partial(s, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass, field
 
@@ -86,3 +87,54 @@ def replace_table(df: DataFrame, path: str, contract: Contract, least_rows: int
     if not backup:
         fs.delete(at(f"{path}.bak"), True)
     return n
+
+
+def read_many(spark: SparkSession, paths: dict[str, str], column: str = "exchange") -> DataFrame:
+    """One table from a path or glob for each exchange, with its name in ``column``; missing columns are null."""
+    out = None
+    for name, path in paths.items():
+        part = spark.read.parquet(path).withColumn(column, F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no paths")
+    return out
+
+
+def read_tsv(spark: SparkSession, path: str, schema: str, header: bool = False) -> DataFrame:
+    """Tab-separated text (lists of instruments); lines that don't fit the schema have nulls."""
+    return spark.read.csv(path, sep="\t", schema=schema, header=header, mode="PERMISSIVE")
+
+
+def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """A report as one file of ``kind`` (csv with a header, json or text) in the folder ``path``; reports are a few rows."""
+    if kind not in ("csv", "json", "text"):
+        raise ValueError(f"unknown kind of report {kind!r}")
+    w = df.coalesce(1).write.mode("overwrite")
+    w.option("header", True).csv(path) if kind == "csv" else getattr(w, kind)(path)
+
+
+@dataclass
+class CollectorState:
+    """What a collector has seen, as one JSON line a source: its last id and time.
+
+    Kept by Spark's writers, so it can be in any store; a new state replaces the old
+    one only when it is written.
+    """
+
+    spark: SparkSession
+    path: str
+
+    def load(self) -> dict[str, dict]:
+        try:
+            rows = self.spark.read.text(self.path).collect()
+        except Exception as e:  # noqa: BLE001
+            if "PATH_NOT_FOUND" in str(e):
+                return {}
+            raise
+        return {r["source"]: r for r in (json.loads(x.value) for x in rows)}
+
+    def save(self, source: str, **seen: str) -> dict[str, dict]:
+        state = self.load() | {source: {"source": source, **seen}}
+        lines = [(json.dumps(state[k], sort_keys=True),) for k in sorted(state)]
+        self.spark.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(self.path)
+        return state

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import factors, registry  # noqa: F401
-from tessera.operators import joins, models
+from tessera.operators import evaluation, joins, models
 from tessera.operators import portfolio as pf
 from tessera.operators import statistics as st
 from tessera.panel import Panel
@@ -193,14 +193,60 @@ def test_stream_dedup(spark, tmp_path):
     assert spark.table("dedup_test").count() == 3
 
 
+def test_network_learns_from_shares_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(models, "MLP_ROWS", 400)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 2))
+    rows = [(k, day(k % 60), float(a), float(b), float(0.3 * a - 0.2 * b)) for k, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "symbol long, date date, a double, b double, y double")
+    fold = models.Fold(tuple(day(k) for k in range(50)), (), tuple(day(k) for k in range(50, 60)))
+    got = models.rolling_predict(df, ["a", "b"], "y", [fold], "mlp", epochs=20, rate=3e-3).join(df, ["symbol", "date"]).toPandas()
+    assert len(got) == 250 and np.corrcoef(got.pred, got.y)[0, 1] > 0.95
+
+
+def test_ridge_equals_normal_equations(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 2))
+    y = x @ [0.5, -1.0] + 0.3 + 0.1 * rng.normal(size=900)
+    df = spark.createDataFrame([(k, day(k % 30), float(a), float(b), float(v)) for k, ((a, b), v) in enumerate(zip(x, y))], "symbol long, date date, a double, b double, y double")
+    folds = models.walk_forward([day(k) for k in range(30)], 10, 4, 5, 1)
+    got = models.ridge_predict(df, ["a", "b"], "y", folds, 10.0).toPandas()
+    at = np.arange(900) % 30
+    for f in folds:
+        lo, hi = (f.train[0] - day(0)).days, (f.train[-1] - day(0)).days
+        t = (at >= lo) & (at <= hi)
+        m, c = x[t].mean(0), y[t].mean()
+        w = np.linalg.solve((x[t] - m).T @ (x[t] - m) + 10 * np.eye(2), (x[t] - m).T @ (y[t] - c))
+        part = got[got.date.isin(f.test)].sort_values("symbol")
+        assert len(part) == 150 and np.allclose(part.pred, (x[part.symbol] - m) @ w + c)
+
+
+def test_mean_variance_weights():
+    """Against a fine grid of all allowed weights of three names, with and without a bound on turnover."""
+    rng = np.random.default_rng(4)
+    for bound in (None, 0.4):
+        a = rng.normal(size=3) * 0.02
+        m = rng.normal(size=(3, 3)) * 0.1
+        cov, before = m @ m.T + 0.01 * np.eye(3), np.array([0.5, 0.3, 0.2])
+        kw = dict(exposure=1.0, risk=2.0, penalty=0.01, most=0.7, industry_most=0.8, turnover=bound)
+        w = evaluation.mean_variance(a, cov, before, np.array(["x", "x", "y"]), **kw)
+        value = lambda v: a @ v - 2.0 * v @ cov @ v - 0.01 * np.abs(v - before).sum()
+        grid = [np.array([i, j, 200 - i - j]) / 200 for i in range(201) for j in range(201 - i)]
+        grid = [v for v in grid if v.max() <= 0.7 and v[0] + v[1] <= 0.8 and (bound is None or np.abs(v - before).sum() <= bound + 1e-9)]
+        assert abs(w.sum() - 1) < 1e-9 and w.min() >= 0 and w.max() <= 0.7 + 1e-4 and w[0] + w[1] <= 0.8 + 1e-4
+        assert bound is None or np.abs(w - before).sum() <= bound + 1e-4
+        assert value(w) >= max(map(value, grid)) - 2e-4
+
+
 def test_network_and_covariance(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 3))
     y = 0.3 * x[:, 0] - 0.2 * np.maximum(x[:, 1], 0)
-    model = models.fit_mlp(x, y, epochs=30, rate=3e-3)
-    assert np.corrcoef(model(x), y)[0, 1] > 0.97
+    mean, sd = x.mean(0), x.std(0)
+    layers = models.fit_mlp(x, y, mean, sd, epochs=30, rate=3e-3)
+    assert np.corrcoef(models.apply_mlp(layers, x, mean, sd), y)[0, 1] > 0.97
     rows = [(f"n{k}", day(t), float(v)) for t in range(80) for k, v in enumerate(rng.normal(size=3) * [1.0, 0.1, 3.0])]
-    got = models.shrunk_covariance(spark.createDataFrame(rows, "name string, date date, v double"), "name", "date", "v").toPandas()
+    got = models.minimum_variance(models.shrunk_covariance(spark.createDataFrame(rows, "name string, date date, v double"), "name", "date", "v")).toPandas()
     c = got.pivot(index="name", columns="other", values="covariance").to_numpy()
     w = got.groupby("name").weight.first().to_numpy()
     assert np.allclose(c, c.T) and np.linalg.eigvalsh(c).min() > 0

@@ -180,3 +180,11 @@ def test_comparisons_with_missing_values(spark):
     assert values(p, dsl.compile_formula(p, "WHERE($x>0,1,2)")) == [1, 2]
     assert values(p, dsl.compile_formula(p, "WHERE($x!=1,1,2)")) == [2, 1]
     assert values(p, dsl.compile_formula(p, "1/($x-1)")) == [None, None]
+
+
+def test_dsl_coerces_text_and_knows_reported_fields(spark):
+    df = spark.createDataFrame([("a", D0, "1.5"), ("a", D0 + dt.timedelta(1), "n/a")], "symbol string, date date, x string")
+    p = Panel(df)
+    assert values(p, dsl.compile_formula(p, "$x*2")) == [3.0, None]
+    assert dsl.check("FIN_LAG_REPORT($x,1)", {"x", "roe"}, {"roe"}) == ["FIN_LAG_REPORT takes a reported field"]
+    assert dsl.check("FIN_LAG_REPORT($roe,1)", {"x", "roe"}, {"roe"}) == []

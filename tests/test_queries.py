@@ -9,7 +9,7 @@ from tessera.plans.base import QUERIES
 
 SF = "/root/testdata/sf0.001"
 SOME = ["ts_mean", "ts_corr", "ewm_mean", "ts_rank_pct", "cs_rank", "cs_neutralize_both", "dsl_formula_5", "factor_liquidity", "factor_value", "asof_merge", "fin_lag_report", "interval_attach",
-        "daily_rankic", "ic_newey_west", "jaccard_turnover", "week_schedule", "limit_flags", "topk_industry_cap", "perf_metrics", "doc_identity_dedup", "html_strip", "stream_daily_counts"]
+        "daily_rankic", "ic_newey_west", "jaccard_turnover", "decile_monotonicity", "ic_retention", "tradability_diagnostics", "signal_diagnosis", "limit_flags_official", "neutralize_controls", "portfolio_metrics", "industry_intervals", "trial_memory", "greedy_prune", "ic_p_values", "factor_quality", "factor_growth", "week_schedule", "limit_flags", "topk_industry_cap", "perf_metrics", "doc_identity_dedup", "html_strip", "stream_daily_counts"]
 
 
 def test_every_sql_has_a_query():

@@ -1,5 +1,6 @@
 import pytest
 
+from tessera.sources import tables
 from tessera.sources.tables import Contract, assemble, replace_table, scan
 
 
@@ -29,3 +30,24 @@ def test_assemble(spark, tmp_path):
     for bad in ("../x", "/etc", "s3://x"):
         with pytest.raises(ValueError):
             assemble(spark, str(tmp_path), {bad: []}, ("k",))
+
+
+def test_globs_tsv_reports_and_state(spark, tmp_path):
+    for ex in ("sh", "sz"):
+        df = spark.createDataFrame([(f"{ex}1", 1.0)], "symbol string, close double")
+        (df if ex == "sh" else df.withColumn("extra", df.close)).write.parquet(str(tmp_path / f"daily_{ex}.parquet"))
+    got = tables.read_many(spark, {ex: f"{tmp_path}/daily_{ex}*.parquet" for ex in ("sh", "sz")})
+    assert sorted(map(tuple, got.select("symbol", "exchange", "extra").collect())) == [("sh1", "sh", None), ("sz1", "sz", 1.0)]
+    (tmp_path / "all.txt").write_text("SH600000\t1999-11-10\t2099-12-31\nSZ000001\tx\t\n")
+    rows = tables.read_tsv(spark, str(tmp_path / "all.txt"), "symbol string, start date, end date").collect()
+    assert [r.symbol for r in rows] == ["SH600000", "SZ000001"] and rows[0].start.year == 1999 and rows[1].start is None
+    for kind in ("csv", "json"):
+        tables.write_report(got.select("symbol", "close"), str(tmp_path / kind), kind)
+        read = spark.read.option("header", True).csv(str(tmp_path / kind)) if kind == "csv" else spark.read.json(str(tmp_path / kind))
+        assert read.count() == 2 and set(read.columns) == {"symbol", "close"}
+    state = tables.CollectorState(spark, str(tmp_path / "state"))
+    assert state.load() == {}
+    state.save("a", last_id="3")
+    state.save("b", last_id="4")
+    state.save("a", last_id="5")
+    assert {k: v["last_id"] for k, v in state.load().items()} == {"a": "5", "b": "4"}
