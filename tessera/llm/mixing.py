@@ -2,8 +2,9 @@
 
 Each source has a target in words.  Whole epochs of a source come first; the rest
 of its target is filled with documents in the order of exponential keys
-``-ln(u) / quality`` (u from a hash of the document), whose sizes are prefix-summed
-up to the budget.  Keys are cut into ranges of about ``RANGE_ROWS`` rows, so that a
+``-ln(u) / quality`` (u from a digest of id, source and, without an id, text), whose
+sizes are prefix-summed up to the budget; the document that crosses it stays if that
+comes nearer.  Keys are cut into ranges of about ``RANGE_ROWS`` rows, so that a
 source with a third of all rows is summed range by range and only the range in
 which its budget ends is ordered row by row.
 
@@ -33,22 +34,21 @@ _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
 def targets(sizes: list[int], weights: list[float], total: float = TOTAL, most: float = MOST) -> list[float]:
-    """Shares of ``total`` x all sizes by weight; none above ``most`` x its size, the excess reshared."""
-    out, active, rest = [0.0] * len(sizes), list(range(len(sizes))), total * sum(sizes)
-    while active:
-        w = sum(weights[i] for i in active)
-        share = {i: rest * weights[i] / w for i in active}
-        over = [i for i in active if share[i] > most * sizes[i]]
-        if not over:
-            for i in active:
-                out[i] = share[i]
+    """Shares of ``total`` x all sizes by weight; none above ``most`` x its size, the excess reshared.
+
+    Sources fill up in the order of most x size / weight: with the first k full, the rest
+    share what is left by weight; k is the least for which none of them is above.
+    """
+    order = sorted(range(len(sizes)), key=lambda i: most * sizes[i] / weights[i])
+    left, share = sum(weights), 0.0
+    goal, full = total * sum(sizes), 0.0
+    for i in order:
+        share = (goal - full) / left
+        if share * weights[i] <= most * sizes[i]:
             break
-        for i in over:
-            out[i] = most * sizes[i]
-            rest -= out[i]
-        active = [i for i in active if i not in set(over)]
-        rest = max(rest, 0.0)
-    return out
+        full, left = full + most * sizes[i], left - weights[i]
+        share = float("inf")
+    return [min(most * s, share * w) if s else 0.0 for s, w in zip(sizes, weights, strict=True)]
 
 
 def sized(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -67,12 +67,13 @@ def mix_sources(rows: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: fl
     """``rows`` (doc_id, source, size, quality) with ``source_size, target, taken, times``.
 
     ``tie`` is a column (long) that stands for null ids and orders rows that are equal otherwise.
-
     The totals of each source (one small row a source) come to the driver.
     """
     spark = rows.sparkSession
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce("doc_id", tie) if tie else F.col("doc_id"), F.col("source")), 11)
-    u = (bits.cast("double") + 0.5) / float(1 << 53)
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.col(tie).cast("string") if tie else F.lit(""), F.lit(""))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), ident, F.coalesce("source", F.lit(""))))
+    # 52 bits of the digest, between 0 and 1 and never either
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     rows = rows.withColumn("key", -F.log(u) / F.col("quality"))
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
     per.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be")))
@@ -106,6 +107,28 @@ def mix_sources(rows: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: fl
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(saved(sized(table(spark, sf_dir, "documents")))).select(
-        "doc_id", "size", "source_size", "target", "taken", "times", "source"
-    )
+    docs = table(spark, sf_dir, "documents").withColumn("tie", F.xxhash64("text"))
+    return mix_sources(saved(sized(docs, ("tie",))), tie="tie").select("doc_id", "size", "source_size", "target", "taken", "times", "source")
+
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size,
+    octet_length(encode(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g'))) AS chars,
+    octet_length(encode(regexp_replace(coalesce(text, ''), '[\x00-@\[-`{-\x7F]', '', 'g'))) AS letters FROM documents),
+k AS (
+  SELECT *, -ln((CAST(CAST('0x' || substr(md5('11|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(source, '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0)
+    / (0.5 + letters / greatest(chars, 1)) AS key FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (ARRAY[3.0, 1.0, 2.0])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY 1),
+f AS (SELECT *, CAST(source_size AS DOUBLE) AS ss, row_number() OVER (ORDER BY 2 * CAST(source_size AS DOUBLE) / CAST(w AS DOUBLE), source NULLS LAST) AS o FROM s),
+l AS (
+  SELECT *, (1.5 * sum(ss) OVER () - 2 * coalesce(sum(ss) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / CAST(sum(w) OVER (ORDER BY o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS share FROM f),
+c AS (SELECT min_by(share, o) AS share FROM l WHERE share * CAST(w AS DOUBLE) <= 2 * ss),
+t AS (SELECT source, source_size, CASE WHEN source_size > 0 THEN least(2 * ss, coalesce((SELECT share FROM c), 'infinity'::DOUBLE) * CAST(w AS DOUBLE)) ELSE 0.0 END AS target FROM l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+x AS (
+  SELECT k.*, source_size, target, epochs, greatest(0.0, target - epochs * source_size) AS rest,
+    sum(size) OVER (PARTITION BY k.source ORDER BY key, size, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM k JOIN e ON e.source IS NOT DISTINCT FROM k.source),
+y AS (SELECT *, CAST(epochs + CASE WHEN rest > 0 AND (upto <= rest OR upto - rest < rest - (upto - size)) THEN 1 ELSE 0 END AS INTEGER) AS times FROM x)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(times * size AS BIGINT) AS taken, times, source FROM y
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
-SQL = {"op1_minhash_dedup": minhash.SQL, "op6_exact_topk": topk.SQL, "op8_url_filter": url_filter.SQL}
+SQL = {"op1_minhash_dedup": minhash.SQL, "op6_exact_topk": topk.SQL, "op8_url_filter": url_filter.SQL, "op9_source_mixing": mixing.SQL}
