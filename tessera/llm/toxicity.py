@@ -7,7 +7,7 @@ backward gated recurrent unit; attention pools the states; a text's score is tha
 of its most toxic window.  Training is numpy back-propagation through time on
 labelled texts, each represented by that of all its windows that scores highest at
 the time (one at random before the first round), with words left out at random.  A
-quarter of the sample is held back: a logistic fit of its labels on the maxima of its
+quarter of the sample (none of a small one) is held back: a logistic fit of its labels on the maxima of its
 whole texts, as scored, gives the score's scale and the cut between the classes.
 
 Defined cases: null and empty texts (and texts without letters) get the score of an
@@ -32,6 +32,8 @@ PREFIXES, SUFFIXES = (3, 4, 5, 6, 7), (4,)
 INPUTS = 1 + len(PREFIXES) + len(SUFFIXES)
 #: Bounds on the sample that is fitted on: whole texts of each class, and their words in all.
 SAMPLE_PER_CLASS, SAMPLE_WORDS = 1200, 1 << 20
+#: Texts that a class needs for a quarter of it to be held back.
+HELD = 128
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -218,10 +220,12 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 0.05), float(b)
 
 
-def train(texts: list[tuple[np.ndarray, int]], epochs: int = 9, batch: int = 128, rate: float = 0.01, drop: float = 0.2, seed: int = 3) -> Net:
+def train(texts: list[tuple[np.ndarray, int]], epochs: int = 9, batch: int = 128, rate: float = 0.01, drop: float = 0.2, seed: int = 3, steps: int = 150) -> Net:
     """A net from (hashed inputs, label) of texts; hashed inputs are those of whole texts.
 
-    Every fourth text of each class is held back for the cut, where a class has 8 or more.
+    Every fourth text of each class is held back for the cut, where both classes have
+    ``HELD`` or more; below that a quarter is too few to place a cut, and it is set on the
+    texts learned from.  Small samples have more epochs, so that there are ``steps`` steps.
     """
     net = Net()
     y = np.array([t[1] for t in texts], int)
@@ -229,13 +233,12 @@ def train(texts: list[tuple[np.ndarray, int]], epochs: int = 9, batch: int = 128
         net.p["w"][:] = 0
         net.p["b"][:] = 0 if not len(y) else 6 if y[0] else -6
         return net
-    back = np.zeros(len(y), bool)
-    for cls in (0, 1):
-        at = np.flatnonzero(y == cls)
-        if len(at) >= 8:
-            back[at[3::4]] = True
-    held = [t for t, h in zip(texts, back, strict=True) if h] if back[y == 0].any() and back[y == 1].any() else texts
-    if held is not texts:
+    held = texts
+    if min((y == 0).sum(), (y == 1).sum()) >= HELD:
+        back = np.zeros(len(y), bool)
+        for cls in (0, 1):
+            back[np.flatnonzero(y == cls)[3::4]] = True
+        held = [t for t, h in zip(texts, back, strict=True) if h]
         texts = [t for t, h in zip(texts, back, strict=True) if not h]
         y = y[~back]
     x = np.concatenate([t[0] for t in texts])
@@ -248,7 +251,8 @@ def train(texts: list[tuple[np.ndarray, int]], epochs: int = 9, batch: int = 128
     mom = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items() if k != "emb"}
     g2 = np.zeros(1 << BITS, np.float32)
     k = 0
-    for epoch in range(epochs):
+    per_epoch = -(-(len(y) + (y == 0).sum()) // batch)
+    for epoch in range(max(epochs, -(-steps // per_epoch))):
         logit = np.concatenate(_logits(net, own)) if epoch else rng.random(woffs[-1])
         best = np.array([a + int(np.argmax(logit[a:b])) for a, b in zip(woffs[:-1], woffs[1:], strict=True)])
         some = woffs[:-1] + (rng.random(len(y)) * np.diff(woffs)).astype(int)
