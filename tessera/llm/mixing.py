@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -67,7 +67,7 @@ def mix_sources(rows: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: fl
     """``rows`` (doc_id, source, size, quality) with ``source_size, target, taken, times``.
 
     ``tie`` is a column (long) that stands for null ids and orders rows that are equal otherwise.
-    The totals of each source (one small row a source) come to the driver.
+    The totals of each source and its histogram of quality (some 20 small rows a source) come to the driver.
     """
     spark = rows.sparkSession
     ident = F.coalesce(F.col("doc_id").cast("string"), F.col(tie).cast("string") if tie else F.lit(""), F.lit(""))
@@ -75,16 +75,23 @@ def mix_sources(rows: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: fl
     # 52 bits of the digest, between 0 and 1 and never either
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     rows = rows.withColumn("key", -F.log(u) / F.col("quality"))
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
+    # a histogram of quality by source: bins of 1/20
+    hist = rows.groupBy("source", F.floor(F.col("quality") * 20).alias("b")).agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.avg("quality").alias("q")).collect()
+    per = []
+    for source in {r.source for r in hist}:
+        mine = sorted((r for r in hist if r.source == source), key=lambda r: r.b)
+        n = sum(r.n for r in mine)
+        per.append(Row(source=source, source_size=sum(r.s for r in mine), n=n, share=[r.n / n for r in mine], q=[r.q for r in mine]))
     per.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be")))
     goals = targets([r.source_size for r in per], [weights[i % len(weights)] for i in range(len(per))], total, most)
     plan = []
     for r, t in zip(per, goals, strict=True):
         epochs = int(t // r.source_size) if r.source_size else 0
-        plan.append((r.source, r.source_size, t, epochs, max(0.0, t - epochs * r.source_size), -(-r.n // RANGE_ROWS)))
-    plan = F.broadcast(spark.createDataFrame(plan, "p_source string, source_size long, target double, epochs int, rest double, ranges long"))
-    # 1 - exp(-key) is even over [0, 1) for quality 1: ranges follow the order of keys
-    at = F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("ranges")), F.col("ranges") - 1)
+        plan.append((r.source, r.source_size, t, epochs, max(0.0, t - epochs * r.source_size), -(-r.n // RANGE_ROWS), r.share, r.q))
+    plan = F.broadcast(spark.createDataFrame(plan, "p_source string, source_size long, target double, epochs int, rest double, ranges long, shares array<double>, qualities array<double>"))
+    # the share of a source's keys below a key, from its histogram: even over [0, 1), so ranges hold about as many rows each
+    below = F.aggregate(F.zip_with("shares", "qualities", lambda p, q: p * (1 - F.exp(-q * F.col("key")))), F.lit(0.0), lambda a, x: a + x)
+    at = F.greatest(F.lit(0), F.least(F.floor(below * F.col("ranges")), F.col("ranges") - 1))
     rows = rows.join(plan, rows.source.eqNullSafe(F.col("p_source"))).drop("p_source").withColumn("range", at)
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("s"), F.first("rest").alias("r"))
     before = F.coalesce(F.sum("s").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -103,7 +110,7 @@ def mix_sources(rows: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: fl
     rest = rows.where("state <> 1").withColumn("chosen", (F.col("state") == 2).cast("int"))
     times = (F.col("epochs") + F.when(F.col("rest") > 0, F.col("chosen")).otherwise(0)).cast("int")
     out = rest.unionByName(edge).withColumn("times", times).withColumn("taken", F.col("times") * F.col("size"))
-    return out.drop("key", "ranges", "range", "before", "state", "chosen", "epochs", "rest")
+    return out.drop("key", "ranges", "shares", "qualities", "range", "before", "state", "chosen", "epochs", "rest")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
