@@ -16,6 +16,8 @@ reruns agree, as nothing depends on the order of rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -28,7 +30,6 @@ from tessera.llm.text import SPACE, pieces
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL, MOST = 1.5, 2.0
-RANGE_ROWS = 5_000
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
@@ -87,7 +88,7 @@ def mix_sources(rows: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: fl
     plan = []
     for r, t in zip(per, goals, strict=True):
         epochs = int(t // r.source_size) if r.source_size else 0
-        plan.append((r.source, r.source_size, t, epochs, max(0.0, t - epochs * r.source_size), -(-r.n // RANGE_ROWS), r.share, r.q))
+        plan.append((r.source, r.source_size, t, epochs, max(0.0, t - epochs * r.source_size), math.isqrt(r.n - 1) + 1, r.share, r.q))
     plan = F.broadcast(spark.createDataFrame(plan, "p_source string, source_size long, target double, epochs int, rest double, ranges long, shares array<double>, qualities array<double>"))
     # the share of a source's keys below a key, from its histogram: even over [0, 1), so ranges hold about as many rows each
     below = F.aggregate(F.zip_with("shares", "qualities", lambda p, q: p * (1 - F.exp(-q * F.col("key")))), F.lit(0.0), lambda a, x: a + x)

@@ -575,8 +575,7 @@ def test_targets():
     assert sum(t) == pytest.approx(1.5 * 555) and all(x <= 2 * s + 1e-9 for x, s in zip(t, [5, 50, 500]))
 
 
-def test_mixing(docs, rows, monkeypatch):
-    monkeypatch.setattr(mixing, "RANGE_ROWS", 7)
+def test_mixing(docs, rows):
     sized = mixing.sized(docs)
     got = mixing.mix_sources(sized).collect()
     assert len(got) == len(rows)
