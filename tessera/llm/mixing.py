@@ -4,9 +4,10 @@ Each source has a target in words.  Whole epochs of a source come first; the res
 of its target is filled with documents in the order of exponential keys
 ``-ln(u) / quality`` (u from a digest of id, source and, without an id, text), whose
 sizes are prefix-summed up to the budget; the document that crosses it stays if that
-comes nearer.  Keys are cut into ranges of about ``RANGE_ROWS`` rows, so that a
-source with a third of all rows is summed range by range and only the range in
-which its budget ends is ordered row by row.
+comes nearer.  The n keys of a source are cut into about sqrt(n) ranges, by their
+distribution under its histogram of quality: a source with a third of all rows is
+summed range by range, and only the range in which its budget ends is ordered row by
+row, so that no task orders or sums more than about sqrt(n) rows.
 
 Defined cases: null and empty texts have size 0; a null source is a source of its
 own and sorts last; a source without words has target 0; repeated rows are
