@@ -78,13 +78,9 @@ def report_lag(p: Panel, x: Column, k: int = 1, period: str = "report_period") -
     x = p.let(x)
     new = p.let((F.col(period).isNotNull() & ~F.col(period).eqNullSafe(F.lag(period).over(p.order()))).cast("int"))
     seq = p.let(F.sum(new).over(p.sofar()))
-    # the last row of each period, one row a (symbol, period)
-    run = p.df.groupBy(F.col(p.symbol).alias("_ls"), (seq + k).alias("_lq")).agg(F.max_by(x, F.when(x.isNotNull(), F.col(p.date))).alias("_lv"))
-    p._n += 1
-    name = f"_{p._n}"
-    joined = p.df.join(run, (p.df[p.symbol] == run["_ls"]) & (seq == run["_lq"]), "left")
-    p.df = joined.withColumn(name, F.col("_lv")).drop("_ls", "_lq", "_lv")
-    return F.col(name)
+    # rows of a period share a frame, so each period is read once, in the panel's own partitions
+    frame = Window.partitionBy(p.symbol).orderBy(seq).rangeBetween(-k, -k)
+    return p.let(F.max_by(x, F.when(x.isNotNull(), F.col(p.date))).over(frame))
 
 
 def report_delta(p: Panel, x: Column, k: int = 1, period: str = "report_period") -> Column:
