@@ -189,11 +189,27 @@ def fold_length(alpha: float, tolerance: float = 1e-13) -> int:
     return max(2, math.ceil(math.log(tolerance) / math.log(1 - alpha)))
 
 
-def _ewm(p: Panel, x: Column, alpha: float, w) -> Column:
-    """y = a x + (1 - a) y over the last rows of a window, from its first value."""
-    vals = p.let(F.collect_list(x).over(w.rowsBetween(-(fold_length(alpha) - 1), 0)))
-    rest = F.slice(vals, F.lit(2), F.greatest(F.size(vals) - 1, F.lit(0)))
-    return p.let(F.when(F.size(vals) > 0, F.aggregate(rest, F.element_at(vals, 1), lambda y, v: y * (1 - alpha) + v * alpha)))
+def _ewm(p: Panel, x: Column, alpha: float, *keys: Column) -> Column:
+    """y = a x + (1 - a) y from a series' first value, as sums over blocks of rows.
+
+    Inside a block, values are weighed up by at most 1000 and their running sum is weighed
+    down; blocks before it add theirs while their weight exceeds 1e-13.  No row holds more
+    than numbers.
+    """
+    series = Window.partitionBy(p.symbol, *keys)
+    sofar = series.orderBy(p.date).rowsBetween(Window.unboundedPreceding, 0)
+    if alpha >= 1:
+        return p.let(F.last(x, ignorenulls=True).over(sofar))
+    keep = 1 - alpha
+    size = fold_length(alpha, 1e-3)
+    at = p.let(F.count(x).over(sofar) - 1)
+    block = p.let(F.floor(at / size))
+    place = p.let(F.pow(F.lit(keep), (at - block * size).cast("double")))
+    up = p.let(F.when(at == 0, x).otherwise(x * alpha) / place)
+    own = p.let(F.sum(up).over(Window.partitionBy(p.symbol, *keys, block).orderBy(p.date).rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = math.ceil(fold_length(alpha) / size)
+    before = [F.coalesce(F.sum(up).over(series.orderBy(block).rangeBetween(-k, -k)), F.lit(0.0)) * keep ** (k * size) for k in range(1, blocks + 1)]
+    return p.let(F.when(at >= 0, place * (F.coalesce(own, F.lit(0.0)) + sum(before, F.lit(0.0)))))
 
 
 def ewm_mean(p, x, span: int):
@@ -202,13 +218,13 @@ def ewm_mean(p, x, span: int):
     part = p.let(F.sum(x.isNull().cast("int")).over(p.sofar()))
     w = Window.partitionBy(p.symbol, part).orderBy(p.date)
     run = p.let(F.count(x).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    y = _ewm(p, x, alpha, w)
+    y = _ewm(p, x, alpha, part)
     return p.let(F.when(x.isNotNull() & (run >= span), y))
 
 
 def ewm_plain(p, x, alpha: float):
     """Exponential mean from the first value on, without warm-up, for series without gaps."""
-    return _ewm(p, p.let(x), alpha, p.order())
+    return _ewm(p, p.let(x), alpha)
 
 
 def count(p, cond, n):
