@@ -127,3 +127,36 @@ def greedy_prune(names: list[str], score: dict[str, float], corr: dict[tuple[str
 def effective_dimension(corr: np.ndarray) -> float:
     """Participation ratio of a correlation matrix: (tr C)^2 / |C|^2."""
     return float(np.trace(corr) ** 2 / (corr**2).sum())
+
+
+def value_runs(df: DataFrame, x: str, by: list[str], ranges: int = 200) -> DataFrame:
+    """``by, x, c, before, n``: distinct values with their counts, the rows of smaller values and all rows of a group.
+
+    Counts are summed in order inside ranges of values whose edges are approximate
+    quantiles (``ranges`` numbers a group), so no task holds a group's values.  Nulls are
+    left out; an empty table gives no rows.
+    """
+    names = by
+    by = by or ["_all"]
+    v = df.withColumn("_all", F.lit(0)).where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("c"))
+    edges = v.groupBy(*by).agg(F.percentile_approx(x, [k / ranges for k in range(1, ranges)], 20 * ranges).alias("_e"))
+    v = v.join(edges, by)
+    v = v.withColumn("_p", F.size(F.filter("_e", lambda e: e < F.col(x)))).drop("_e")
+    w = Window.partitionBy(*by).orderBy("_p")
+    sums = v.groupBy(*by, "_p").agg(F.sum("c").alias("_s"))
+    sums = sums.withColumns({"_b": F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s"), "n": F.sum("_s").over(Window.partitionBy(*by))})
+    inside = Window.partitionBy(*by, "_p").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    v = v.join(sums, [*by, "_p"])
+    return v.select(*names, x, "c", (F.col("_b") + F.sum("c").over(inside) - F.col("c")).alias("before"), "n")
+
+
+def exact_quantiles(df: DataFrame, x: str, by: list[str], shares: tuple[float, ...]) -> DataFrame:
+    """``by, n, q``: exact linear quantiles of each group, as an array in the order of ``shares``."""
+    runs = value_runs(df, x, by)
+    at = [F.lit(s) * (F.col("n") - 1) for s in shares]
+    # a run holds the places before .. before + c - 1; each quantile needs the values at two
+    pick = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("c")), F.col(x)))
+    cols = [c for k, a in enumerate(at) for c in (pick(F.floor(a)).alias(f"_l{k}"), pick(F.ceil(a)).alias(f"_h{k}"))]
+    out = runs.groupBy(*by).agg(F.first("n").alias("n"), *cols)
+    part = [F.lit(s) * (F.col("n") - 1) - F.floor(F.lit(s) * (F.col("n") - 1)) for s in shares]
+    return out.select(*by, "n", F.array(*[F.col(f"_l{k}") + p * (F.col(f"_h{k}") - F.col(f"_l{k}")) for k, p in enumerate(part)]).alias("q"))

@@ -36,16 +36,12 @@ add("missing_reasons", _reasons, f"WITH {WEEKS}, {GAPS}, k AS (SELECT *, row_num
 
 
 def _pooled(s, d):
-    """Spearman between factors over all complete rows of the panel, by ranks made with one shuffle a factor."""
+    """Spearman between factors over all complete rows of the panel, by ranks from counts of distinct values."""
     b = base(s, d).where("rev5 IS NOT NULL AND mom20 IS NOT NULL AND vol10 IS NOT NULL")
     ranked = None
     for f in FACTORS:
-        # average rank = rows below + (ties + 1) / 2, from counts of distinct values summed in order
-        v = b.groupBy(C(f).alias("v")).agg(F.count("*").alias("c"))
-        part = F.floor(C("v") * 50)
-        sums = v.groupBy(part.alias("p")).agg(F.sum("c").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        w = Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-        v = v.withColumn("p", part).join(sums, "p").withColumn(f"r_{f}", C("before") + F.coalesce(F.sum("c").over(w), F.lit(0)) + (C("c") + 1) / 2).select(C("v").alias(f), f"r_{f}")
+        # average rank = rows below + (ties + 1) / 2
+        v = st.value_runs(b, f, []).select(f, (C("before") + (C("c") + 1) / 2).alias(f"r_{f}"))
         ranked = b.join(v, f) if ranked is None else ranked.join(v, f)
     pairs = [("rev5", "mom20"), ("rev5", "vol10"), ("mom20", "vol10")]
     return ranked.agg(*[st.correlation(f"r_{x}", f"r_{y}").alias(f"{x}_{y}") for x, y in pairs])

@@ -90,6 +90,40 @@ def test_cov_mad_ewm(spark):
     assert e[2] == pytest.approx(2.25) and e[3:6] == [None] * 3 and e[6] == pytest.approx(6.25)
 
 
+@pytest.mark.parametrize("alpha", [1.0, 2 / 3, 1 / 3, 0.2, 2 / 27])
+def test_exponential_means_over_long_series(spark, alpha):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = [None, None, *(float(v) for v in rng.normal(5, 2, 900))]
+    x[300] = None
+    got, y = one(spark, x, lambda p: ts.ewm_plain(p, C("x"), alpha)), None
+    for v, g in zip(x, got, strict=True):
+        y = v if y is None else y if v is None else y * (1 - alpha) + v * alpha
+        assert g is y is None or math.isclose(g, y, rel_tol=1e-11)
+    assert one(spark, [3, None, 4], lambda p: ts.ewm_mean(p, C("x"), 1)) == [3, None, 4]
+
+
+def test_value_runs_and_quantiles(spark):
+    import numpy as np
+
+    from tessera.operators import statistics as st
+
+    rng = np.random.default_rng(5)
+    rows = [("a", float(v)) for v in rng.normal(size=3000)] + [("b", float(v)) for v in rng.integers(0, 3, 2000)] + [("c", 1.5), ("c", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    qs = (0.0, 0.01, 0.3, 0.5, 0.95, 1.0)
+    got = {r.g: r for r in st.exact_quantiles(df, "x", ["g"], qs).collect()}
+    assert set(got) == set("abc")
+    for g, r in got.items():
+        vals = [v for k, v in rows if k == g and v is not None]
+        assert r.n == len(vals) and np.allclose(r.q, np.quantile(vals, qs), rtol=0, atol=1e-12)
+    runs = {r.x: r for r in st.value_runs(df, "x", []).collect()}
+    vals = sorted(v for _, v in rows if v is not None)
+    assert len(runs) == len(set(vals)) and all(r.before == np.searchsorted(vals, v) and r.c == vals.count(v) and r.n == len(vals) for v, r in list(runs.items())[::50])
+    assert st.value_runs(df.where("x > 99"), "x", []).isEmpty()
+
+
 def test_counts(spark):
     f = lambda g: one(spark, [1, 1, 0, 1, 1, 1], lambda p: g(p, C("x") > 0, 3))
     assert f(ts.count) == [None, None, 2, 2, 2, 3]
@@ -110,6 +144,7 @@ def test_report_lag(spark):
     got = one(spark, [10, 11, 20, 20, 30], lambda p: joins.report_delta(p, C("x")), report_period=[q[0], q[0], q[1], q[1], q[2]])
     assert got[2] == 9
     assert one(spark, [10, None, 30], lambda p: joins.report_lag(p, C("x")), report_period=q) == [None, 10, None]
+    assert one(spark, [10, 11, 20, 20, 30], lambda p: joins.report_lag(p, C("x"), 2), report_period=[q[0], q[0], q[1], q[1], q[2]]) == [None, None, None, None, 11]
 
 
 def test_windows_are_checked():
