@@ -84,14 +84,18 @@ def _clean() -> None:
             return
 
 
-#: So many of the most frequent keys of a join are joined by broadcast, so no other has more than 1/HEAVY of the rows.
+#: Keys with at least 1/HEAVY of a table's rows, at most HEAVY keys, are joined by broadcast; no other key has as many.
 HEAVY = 1024
 
 
 def frequent(rows: DataFrame, key: str, least: int = 32) -> list:
-    """The most frequent values of ``key`` with at least ``least`` rows, HEAVY at most."""
+    """The values of ``key`` that have at least ``least`` rows and 1/HEAVY of all rows each.
+
+    Rarer keys can't fill a task, and without frequent ones the plan needs no broadcast.
+    """
+    enough = max(least, rows.count() / HEAVY)
     per = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    return [r[0] for r in per.where(F.col("_n") >= least).orderBy(F.desc("_n"), key).limit(HEAVY).collect()]
+    return [r[0] for r in per.where(F.col("_n") >= enough).orderBy(F.desc("_n"), key).limit(HEAVY).collect()]
 
 
 def spread_join(rows: DataFrame, others: DataFrame, key: str, keys: list, how: str = "inner") -> DataFrame:

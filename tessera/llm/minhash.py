@@ -108,7 +108,8 @@ def postings(nodes: DataFrame, matches: int) -> DataFrame:
     """``tok, node``: each node under the rare (coordinate, value) pairs that it must share."""
     tok = nodes.select("node", F.posexplode("sig").alias("i", "v")).select("node", (F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(0xFFFFFFFF))).alias("tok"))
     shared = saved(tok.groupBy("tok").count().where("count > 1"))
-    most = [r.tok for r in shared.orderBy(F.desc("count"), "tok").limit(HEAVY).collect()]
+    enough = (shared.agg(F.sum("count")).first()[0] or 0) / HEAVY
+    most = [r.tok for r in shared.where(F.col("count") >= enough).orderBy(F.desc("count"), "tok").limit(HEAVY).collect()]
     lists = spread_join(tok, shared, "tok", most).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "tok"))).alias("t"))
     first = lists.where(F.size("t") >= matches).select("node", F.explode(F.slice("t", F.lit(1), F.size("t") - matches + 1)).alias("t"))
     first = saved(first.select("node", "t.tok"))
