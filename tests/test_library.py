@@ -252,3 +252,30 @@ def test_network_and_covariance(spark):
     assert np.allclose(c, c.T) and np.linalg.eigvalsh(c).min() > 0
     free = np.linalg.solve(c, np.ones(3))
     assert (free > 0).all() and np.allclose(w, free / free.sum(), atol=2e-3)
+
+
+def test_engines_stream_days_and_agree_with_a_scenario_in_one_table(spark):
+    import pandas as pd
+
+    two = pd.concat([_market().assign(scenario=k) for k in ("a", "b")]).sample(frac=1, random_state=1)
+    df = spark.createDataFrame(two).repartition(3)
+    for engine, args in ((pf.daily_engine, (pf.Rules(every=2),)), (pf.weekly_engine, ())):
+        plan = pf.simulate(df, engine, *args)
+        assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString()  # which holds a scenario in one table
+        got = plan.toPandas().sort_values(["scenario", "date"]).reset_index(drop=True)
+        want = pd.concat([engine(g, *args) for _, g in two.groupby("scenario")]).reset_index(drop=True)
+        pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
+def test_a_day_that_batches_split_is_one_day():
+    import datetime as dt
+
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [(s, dt.date(2020, 1, d), k) for s in "ab" for d in (1, 2) for k in range(5)]
+    t = pa.table({c: [r[i] for r in rows] for i, c in enumerate(("scenario", "date", "symbol"))}).cast(pa.schema([("scenario", pa.string()), ("date", pa.date32()), ("symbol", pa.int64())]))
+    for size in (1, 3, 5, 7, 20):
+        got = [(s, d, v["symbol"]) for s, d, v in pf.each_day(t.to_batches(max_chunksize=size))]
+        assert [x[:2] for x in got] == [(s, dt.date(2020, 1, d)) for s in "ab" for d in (1, 2)]
+        assert all(np.array_equal(x[2], np.arange(5)) for x in got)
