@@ -223,3 +223,32 @@ def test_dsl_coerces_text_and_knows_reported_fields(spark):
     assert values(p, dsl.compile_formula(p, "$x*2")) == [3.0, None]
     assert dsl.check("FIN_LAG_REPORT($x,1)", {"x", "roe"}, {"roe"}) == ["FIN_LAG_REPORT takes a reported field"]
     assert dsl.check("FIN_LAG_REPORT($roe,1)", {"x", "roe"}, {"roe"}) == []
+
+
+def test_narrowed_quantiles_are_exact(spark):
+    import numpy as np
+
+    from tessera.operators import statistics as st
+
+    rng = np.random.default_rng(3)
+    groups = {"spread": rng.standard_normal(5000), "ties": rng.integers(0, 3, 4000).astype(float), "one": np.array([2.5]), "same": np.full(100, 7.0), "two": np.array([1.0, 4.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("one", None), ("none", None)]
+    shares = (0.0, 0.01, 0.25, 0.5, 0.95, 1.0)
+    for slack in (1e-3, 1e-12):  # brackets that miss their places widen
+        got = st.narrowed_quantiles(spark.createDataFrame(rows, "factor string, x double").repartition(5), "x", "factor", shares, slack)
+        assert set(got) == set(groups)
+        for g, vs in groups.items():
+            assert got[g][0] == len(vs)
+            np.testing.assert_allclose(got[g][1], np.quantile(vs, shares), rtol=0, atol=1e-12)
+
+
+def test_the_distribution_profile_holds_no_factor_in_one_task(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessera import plans
+
+    def no(*_):
+        raise AssertionError("the exact percentile keeps all distinct values of a factor in one task")
+
+    monkeypatch.setattr(F, "percentile", no)
+    assert plans.queries()["distribution_profile"](spark, "/root/testdata/sf0.001").count() == 3
