@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions import registry
+from tessera.functions import registry, rolling
 from tessera.functions.registry import register
 from tessera.operators import crosssection as cs
 from tessera.operators import timeseries as ts
@@ -264,61 +264,9 @@ for _name, _x in {
     register(_name, X, ["open", "high", "low", "close"] + ["amount", "volume"] * (_name == "VWAP0"), lambda p, x=_x: F.expr(x))
 
 
-@memo
-def row(p):
-    return F.row_number().over(p.order()).cast("double")
-
-
-@memo
-def up(p, col):
-    d = C(col) - F.lag(col).over(p.order())
-    return F.greatest(d, F.lit(0.0)) + 0 * d
-
-
-@memo
-def move(p, col):
-    return F.abs(C(col) - F.lag(col).over(p.order()))
-
-
-def _place_of(p, col, n, best):
-    """How many rows into the window the extreme stands, as a share: the first of equals."""
-    vals = p.let(F.collect_list(col).over(p.last(n)))
-    return p.let(F.array_position(vals, best(vals)).cast("double") / n)
-
-
 def _rolls(p: Panel, n: int) -> dict[str, Column]:
-    w = p.last(n)
-    lc = p.let(F.log(v + 1))
-    rc = p.let(c / F.lag("close").over(p.order()))
-    rv = p.let(F.log(v / F.lag("volume").over(p.order()) + 1))
-    x = row(p)
-    b = p.let(F.regr_slope(c, x).over(w))
-    i = p.let(F.regr_intercept(c, x).over(w))
-    s = lambda col: F.sum(col).over(w)
-    gain, total = s(up(p, "close")), s(move(p, "close"))
-    vgain, vtotal = s(up(p, "volume")), s(move(p, "volume"))
-    pos = p.let((c > F.lag("close").over(p.order())).cast("double"))
-    neg = p.let((c < F.lag("close").over(p.order())).cast("double"))
-    turn = p.let(F.abs(rc - 1) * v)
-    return {
-        "ROC": F.lag("close", n).over(p.order()) / c, "MA": F.avg(c).over(w) / c, "STD": F.stddev_samp(c).over(w) / c, "BETA": b / c,
-        "RSQR": F.pow(ts.corr(p, c, x, n, 2), 2), "RESI": (c - (i + b * x)) / c, "MAX": F.max(h).over(w) / c, "MIN": F.min(l).over(w) / c,
-        "QTLU": F.percentile(c, F.lit(0.8)).over(w) / c, "QTLD": F.percentile(c, F.lit(0.2)).over(w) / c,
-        "RANK": _rank_of(p, n), "RSV": (c - F.min(l).over(w)) / (F.max(h).over(w) - F.min(l).over(w) + E),
-        "IMAX": _place_of(p, "high", n, F.array_max), "IMIN": _place_of(p, "low", n, F.array_min),
-        "IMXD": _place_of(p, "high", n, F.array_max) - _place_of(p, "low", n, F.array_min),
-        "CORR": ts.corr(p, c, lc, n, 2), "CORD": ts.corr(p, rc, rv, n, 2),
-        "CNTP": F.avg(pos).over(w), "CNTN": F.avg(neg).over(w), "CNTD": F.avg(pos).over(w) - F.avg(neg).over(w),
-        "SUMP": gain / (total + E), "SUMN": (total - gain) / (total + E), "SUMD": (2 * gain - total) / (total + E),
-        "VMA": F.avg(v).over(w) / (v + E), "VSTD": F.stddev_samp(v).over(w) / (v + E),
-        "WVMA": F.stddev_samp(turn).over(w) / (F.avg(turn).over(w) + E),
-        "VSUMP": vgain / (vtotal + E), "VSUMN": (vtotal - vgain) / (vtotal + E), "VSUMD": (2 * vgain - vtotal) / (vtotal + E),
-    }
-
-
-def _rank_of(p, n):
-    vals = p.let(F.collect_list(c).over(p.last(n)))
-    return p.let((F.size(F.filter(vals, lambda x: x < c)) + (F.size(F.filter(vals, lambda x: x == c)) + 1) / 2) / F.size(vals))
+    p.df = rolling.rolled(p.df, p.symbol, p.date, n, f"_roll{n}_", FAMILIES)
+    return {k: C(f"_roll{n}_{k}") for k in FAMILIES}
 
 
 def _roll(p: Panel, n: int, family: str) -> Column:

@@ -47,11 +47,11 @@ def inputs(s, d) -> Panel:
     return Panel(df.withColumn("turnover_rate", F.col("volume") / 1000).withColumn("pe_ttm", F.when((F.col("symbol") + week) % 10 != 0, F.col("close")).otherwise(0.0)).withColumns({"pb": F.col("volume"), "ps_ttm": F.col("amount"), **{k: F.expr(x) for k, x in FIGURES.items()}}))
 
 
-def group(name: str, sql: dict[str, str], digits=6, ctes: str = "", source: str = "f") -> None:
+def group(name: str, sql: dict[str, str], digits=6, ctes: str = "", source: str = "f", panel=inputs) -> None:
     cols = list(sql)
     of = lambda k: digits if isinstance(digits, int) else digits.get(k, 6)
     text = ", ".join(f"{r(f'CAST({e} AS DOUBLE)', of(k))} AS {k}" for k, e in sql.items())
-    add(name, lambda s, d: registry.compute(inputs(s, d), cols), f"WITH {WEEKS}, {INPUTS}{', ' + ctes if ctes else ''} SELECT symbol, date, {text} FROM {source} {WINDOW}", digits)
+    add(name, lambda s, d: registry.compute(panel(s, d), cols), f"WITH {WEEKS}, {INPUTS}{', ' + ctes if ctes else ''} SELECT symbol, date, {text} FROM {source} {WINDOW}", digits)
 
 
 def pct(n: int) -> str:
@@ -193,4 +193,4 @@ def rolls(n: int) -> dict[str, str]:
 
 
 for _n in fx.XN:
-    group(f"factor_alpha158_roll_{_n}", {f"{k}{_n}": x for k, x in rolls(_n).items()}, digits=5, source="z", ctes=f"z AS (SELECT *, volume - lag(volume) OVER (PARTITION BY symbol ORDER BY date) AS e, list(close) OVER {w(_n)} AS hist{_n} FROM f)")
+    group(f"factor_alpha158_roll_{_n}", {f"{k}{_n}": x for k, x in rolls(_n).items()}, digits=5, source="z", ctes=f"z AS (SELECT *, volume - lag(volume) OVER (PARTITION BY symbol ORDER BY date) AS e, list(close) OVER {w(_n)} AS hist{_n} FROM f)", panel=lambda s, d: Panel(bars(s, d)))

@@ -279,3 +279,35 @@ def test_a_day_that_batches_split_is_one_day():
         got = [(s, d, v["symbol"]) for s, d, v in pf.each_day(t.to_batches(max_chunksize=size))]
         assert [x[:2] for x in got] == [(s, dt.date(2020, 1, d)) for s in "ab" for d in (1, 2)]
         assert all(np.array_equal(x[2], np.arange(5)) for x in got)
+
+
+def test_rolling_families_stream_and_leave_out_nulls(spark):
+    import numpy as np
+
+    from tessera.functions import rolling
+    from tessera.functions.factors import FAMILIES
+
+    rng = np.random.default_rng(2)
+    rows = [(s, k, *(None if rng.random() < 0.1 and s else float(x) for x in rng.integers(1, 30, 4))) for s in range(4) for k in range(40)]
+    df = spark.createDataFrame(rows, "symbol long, date int, close double, high double, low double, volume double").repartition(3)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    got = {}
+    for size in (7, 10000):  # symbols go on over batches
+        spark.conf.set(key, size)
+        out = rolling.rolled(df, "symbol", "date", 5, "r_", FAMILIES)
+        assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got[size] = sorted(map(tuple, out.collect()), key=lambda r: r[:2])
+    spark.conf.unset(key)
+    assert got[7] == got[10000]
+    for r in got[7]:
+        last = [x for x in rows if x[0] == r[0] and r[1] - 5 < x[1] <= r[1]]
+        closes = [x[2] for x in last if x[2] is not None]
+        at = dict(zip(FAMILIES, r[6:], strict=True))
+        if r[2] is None:
+            assert at["MA"] is None
+        else:
+            assert at["MA"] == pytest.approx(np.mean(closes) / r[2]) and at["QTLU"] == pytest.approx(np.quantile(closes, 0.8) / r[2])
+            assert at["RANK"] == pytest.approx((sum(c < r[2] for c in closes) + (closes.count(r[2]) + 1) / 2) / len(closes))
+            assert (at["STD"] is None) == (len(closes) < 2)
+        highs = [x[3] for x in last if x[3] is not None]
+        assert at["IMAX"] == (pytest.approx((highs.index(max(highs)) + 1) / 5) if highs else None)
