@@ -611,3 +611,28 @@ def test_the_driver_collects_its_garbage_between_written_tables(spark):
         for _ in range(common.TIDY):
             common.saved(spark.range(1).toDF("x"))
     assert full() > before
+
+
+def test_lm_layer_learns_from_every_window_of_every_training_text(spark, monkeypatch):
+    took = []
+    train = lm.trained
+
+    def trained(tables, model, groups):
+        got = tables.where("base = 2").select("g", "turn", "id_n").collect()
+        took.append((groups, [(r.g, r.turn, np.frombuffer(r.id_n, np.uint16).reshape(-1, lm.WIDTH + 2)) for r in got]))
+        train(tables, model, groups)
+
+    monkeypatch.setattr(lm, "trained", trained)
+    monkeypatch.setattr(lm, "LEAST_WINDOWS", 64)  # else a corpus as small as this was whole before
+    monkeypatch.setattr(lm, "GROUP", 300)
+    df = spark.range(500).selectExpr("id doc_id", "repeat(concat('one two three four ', id, ' '), 30) text")
+    rows = lm.lm_scores(df, F.col("doc_id") % 5 == 0).collect()
+    assert len(rows) == 500 and all(np.isfinite(r.score) for r in rows)
+    codec, total = bpe.codec(bpe.vocabulary_path()), 0
+    for r in df.where("doc_id % 5 <> 0").collect():
+        raw = np.frombuffer(r.text.encode(), np.uint8)
+        urow, _ = codec.rows(text.Texts(raw, np.array([0, len(raw)])))
+        total += -(-(len(bpe.gather(codec.ids, codec.id_end, urow)[0]) + 1) // lm.WIDTH)
+    groups, got = took[0]
+    assert sum(len(w) for *_, w in got) == total and groups == round(total / 300) > 1
+    assert {t for _, t, _ in got} == set(range(lm.ROUNDS)) and {g for g, *_ in got} == set(range(groups))
