@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pathlib
 import re
 import zlib
 
@@ -613,6 +614,26 @@ def test_the_driver_collects_its_garbage_between_written_tables(spark):
     assert full() > before
 
 
+def test_saved_tables_let_the_driver_give_back_native_memory(spark, monkeypatch):
+    jvm = spark.sparkContext._jvm
+    if not common.trim_native(spark):
+        pytest.skip("this JVM can't trim")
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    rss = lambda: int(pathlib.Path(f"/proc/{pid}/statm").read_text().split()[1]) * 4096 / 2**20
+    # freed in between such as are held: the C library keeps the pages
+    held = [jvm.java.util.zip.Deflater() for _ in range(1000)]
+    for k, x in enumerate(held):
+        if k % 20:
+            x.end()
+    jvm.System.gc()
+    before = rss()
+    monkeypatch.setattr(common, "_writes", common.TIDY - 1)
+    with common.scratch():
+        common.saved(spark.range(1).toDF("x"))
+    assert rss() < before - 30
+    assert len(held) == 1000
+
+
 def test_lm_layer_learns_from_every_window_of_every_training_text(spark, monkeypatch):
     took = []
     train = lm.trained
