@@ -657,3 +657,47 @@ def test_lm_layer_learns_from_every_window_of_every_training_text(spark, monkeyp
     groups, got = took[0]
     assert sum(len(w) for *_, w in got) == total and groups == round(total / 300) > 1
     assert {t for _, t, _ in got} == set(range(lm.ROUNDS)) and {g for g, *_ in got} == set(range(groups))
+
+
+def test_lm_scoring_leaves_one_models_tables_on_disk(spark, monkeypatch):
+    made = []
+    kind = type(spark.sparkContext)
+    broadcast = kind.broadcast
+    monkeypatch.setattr(kind, "broadcast", lambda self, value: made.append(broadcast(self, value)) or made[-1])
+    docs = spark.createDataFrame([(k, f"some words and {k % 7} more of them " * 5) for k in range(40)], "doc_id long, text string")
+    assert lm.lm_scores(docs, F.col("doc_id") % 5 == 0).count() == 40
+    # each is a file on the driver and on every executor
+    left = [pathlib.Path(b._path).stat().st_size / 2**20 for b in made if pathlib.Path(b._path).exists()]
+    assert max(left) > 10  # the scores' tables are there
+    assert sum(left) < 40
+
+
+def test_lm_learning_steps_are_those_of_the_plain_gradient():
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 300, 64 * lm.WIDTH)
+    m = lm.Model(*lm.class_of(np.bincount(ids, minlength=lm.IDS)))
+    m.bigram = rng.standard_normal((lm.IDS, lm.CLASSES)).astype(np.float32)
+    windows, size, _ = lm.cut(ids, np.array([0, 50, 90, len(ids)]))
+    rate, names = 1e-3, [k for k in lm.LAYER if k != "emb"]
+
+    def loss(change=None):
+        n = lm.Model.of(m.__dict__ | (change or {}))
+        n.ready()
+        x, y = windows[:, :-1].astype(int), windows[:, 1:].astype(int)
+        z = (n.attend(x)[4] @ n.wo + n.bigram[x]).astype(float)
+        lp = np.take_along_axis(z, n.classes[y][..., None], 2)[..., 0] - np.log(np.exp(z).sum(2))
+        return -lp[np.arange(lm.WIDTH) < size[:, None]].mean()
+
+    before = {k: getattr(m, k).copy() for k in lm.LAYER}
+    new = lm.Model.of(dict(m.__dict__) | {"emb": m.emb.copy()})
+    new.learn(windows, size, epochs=1, batch=len(windows), rate=rate)
+    # the first step of each number is ``rate`` against the sign of its slope
+    for k in names:
+        for at in list(np.ndindex(before[k].shape))[::37]:
+            up, down = before[k].copy(), before[k].copy()
+            up[at] += 0.02
+            down[at] -= 0.02
+            slope = (loss({k: up}) - loss({k: down})) / 0.04
+            if abs(slope) > 1e-4:
+                assert np.sign(before[k][at] - getattr(new, k)[at]) == np.sign(slope), (k, at)
+    assert loss({k: getattr(new, k) for k in lm.LAYER}) < loss()
