@@ -701,3 +701,35 @@ def test_lm_learning_steps_are_those_of_the_plain_gradient():
             if abs(slope) > 1e-4:
                 assert np.sign(before[k][at] - getattr(new, k)[at]) == np.sign(slope), (k, at)
     assert loss({k: getattr(new, k) for k in lm.LAYER}) < loss()
+
+
+def test_bpe_short_words_are_taken_side_by_side(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = bpe.vocabulary_path()
+    rng, alone = np.random.default_rng(8), []
+    for name in ("propose", "exact"):
+        one = getattr(bpe.Vocabulary, name)
+        monkeypatch.setattr(bpe.Vocabulary, name, lambda self, piece, one=one: alone.append(len(piece)) or one(self, piece))
+    words = ["".join(rng.choice(list("aeinorstthx"), n)) for n in [*rng.integers(1, 20, 3000), 63, 64, 65, 500]]
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    rows, _ = bpe.Codec(bpe.codec(path).v).rows(text.Texts(raw, np.array([0, len(raw)])))
+    assert len(rows) == len(words)
+    # one by one a word takes some 30 microseconds; that is for long ones
+    assert sorted(set(alone)) == [65, 500]
+    want = tokenizers.Tokenizer.from_file(path).encode(" ".join(words), add_special_tokens=False).ids
+    for ids_only, remember in ((False, 100_000), (True, 100_000), (True, 50)):
+        c = bpe.Codec(bpe.codec(path).v, remember, ids_only)
+        for _ in range(2):
+            assert bpe.gather(c.ids, c.id_end, c.rows(text.Texts(raw, np.array([0, len(raw)])))[0])[0].tolist() == want
+
+
+def test_bpe_lookup_finds_what_it_took_up():
+    rng = np.random.default_rng(2)
+    keys = np.unique(np.concatenate([rng.integers(-(2**63), 2**63 - 1, 5000), np.arange(-50, 50)]))
+    rng.shuffle(keys)
+    at = bpe.Lookup(keys[:3], np.arange(3), -1)
+    for lo in range(3, 4000, 400):
+        part = np.arange(lo, min(lo + 400, 4000))
+        at.add(keys[part], part)
+        assert (at(keys) == np.where(np.arange(len(keys)) < part[-1] + 1, np.arange(len(keys)), -1)).all()
+    assert len(at(keys[:0])) == 0
