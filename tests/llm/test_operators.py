@@ -733,3 +733,13 @@ def test_bpe_lookup_finds_what_it_took_up():
         at.add(keys[part], part)
         assert (at(keys) == np.where(np.arange(len(keys)) < part[-1] + 1, np.arange(len(keys)), -1)).all()
     assert len(at(keys[:0])) == 0
+
+
+def test_lm_counts_equal_those_of_a_long_table():
+    rng = np.random.default_rng(3)
+    counts, want = np.zeros(500, np.int32), np.zeros(500, int)
+    for n in (0, 1, 3000, 2):
+        keys = rng.integers(0, 500, n).astype(np.int32)
+        lm.add_counts(counts, keys)
+        want += np.bincount(keys, minlength=500)
+    assert (counts == want).all()
